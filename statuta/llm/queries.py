@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import copies, overlap, packing, sampling, splits, terms, tokens
+from statuta.llm import copies, overlap, packing, pairs, sampling, sentences, splits, terms, tokens
 from statuta.runtime import table
 
 
@@ -24,6 +24,10 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return sampling.targets_report(sampling.pool(table(spark, d, "golden_dataset")), table(spark, d, "sample_targets")).drop("key")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "llm_responses")).distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     found = splits.violations(splits.records(table(spark, d, "golden_dataset")))
     return found.select(F.col("act").alias("parent_document"), F.col("provision").alias("source_article")).distinct()
@@ -82,6 +86,10 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d).select("container", "doc_id", "piece", "start", F.col("size").alias("tokens"), "part_bins", "part_bound")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents")).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     here = globals()
     return {k: here[k] for k in sorted(here) if k[0] == "p" and k[1:2].isdigit()}
