@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import copies, overlap, packing, pairs, sampling, sentences, splits, terms, tokens
+from statuta.llm import copies, overlap, packing, pairs, sampling, scans, sentences, splits, terms, tokens
 from statuta.runtime import table
 
 
@@ -37,6 +37,14 @@ def p3_assign(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign(splits.records(table(spark, d, "golden_dataset")), table(spark, d, "split_targets"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.damage(table(spark, d, "raw_pages")).distinct()
+
+
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.paragraphs(table(spark, d, "raw_pages"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.top_term(terms.term_scores(table(spark, d, "chunks"))).select("chunk_id", "term")
 
