@@ -10,8 +10,11 @@ from statuta.runtime import cut
 
 #: Pages of a file that one window task orders; the blocks of a file are linked by their edges.
 PAGE_BLOCK = 256
-#: Lines that a running header may have.
+#: Lines that a running header may have, and lines from a page's top among which it is looked for.
 HEADER_LINES = 2
+EDGE_LINES = 6
+#: Forms that are sent to all tasks at most; more are joined by a shuffle.
+BROADCAST_FORMS = 200_000
 #: Glyphs read one for another. Each group comes down to its last member.
 SINGLE_FROM, SINGLE_TO = "e†1i|50@9hß8äöü6¨", "ctlllsoagbbbaouo"
 LIGATURES = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
@@ -46,91 +49,108 @@ def _trim(c: Column) -> Column:
 
 
 def pages(raw: DataFrame) -> DataFrame:
-    """One row per page: a page extracted twice counts once, by its longest text; null and blank pages are left out."""
+    """One row per page with `ls`, its lines that aren't blank as (line_no, line), blank ones counted in line_no.
+
+    A page extracted twice counts once, by its longest text; null and blank pages are left out.
+    """
     best = F.max(F.struct(F.length("text"), F.col("text"))).alias("b")
-    one = raw.where("source_file is not null and page_number is not null").groupBy("source_file", "page_number").agg(best, F.max("parent_document").alias("parent_document"))
-    return one.select("source_file", "page_number", "parent_document", F.col("b.text").alias("text")).where(_trim(F.col("text")) != "")
+    one = raw.where("source_file is not null and page_number is not null and text is not null").groupBy("source_file", "page_number").agg(best, F.max("parent_document").alias("parent_document"))
+    each = F.transform(F.split("b.text", "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), _trim(x).alias("line")))
+    x = one.select("source_file", "page_number", "parent_document", F.filter(each, lambda x: x["line"] != "").alias("ls"))
+    return x.where(F.size("ls") > 0)
+
+
+def _masked(c: Column) -> Column:
+    return F.regexp_replace(c, r"\b[0-9lIOo]*[0-9][0-9lIOo]*\b", "")
 
 
-def lines(pg: DataFrame) -> DataFrame:
-    """The lines that aren't blank: line_no (blank ones counted), k-th from the top and r-th from the bottom, from 0."""
-    each = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), _trim(x).alias("line")))
-    filled = pg.select("source_file", "page_number", "parent_document", F.filter(each, lambda x: x["line"] != "").alias("ls"))
-    x = filled.select("source_file", "page_number", "parent_document", F.size("ls").alias("n"), F.posexplode("ls").alias("k", "x"))
-    return x.select("source_file", "page_number", "parent_document", "x.line_no", "x.line", "k", (F.col("n") - F.col("k") - 1).alias("r"))
+def _letters(c: Column) -> Column:
+    return _trim(F.regexp_replace(c, r"[^\p{L}]+", " "))
 
 
-def layout(ls: DataFrame) -> DataFrame:
-    """Each line with its `defect` if it is a page number or running header, else null.
+def _kind(line: Column) -> Column:
+    """A line without digits, roman numerals and marks, by its skeleton's hash: what headers of many files share."""
+    return F.xxhash64(skeleton(_letters(F.regexp_replace(F.lower(_masked(line)), r"\b[ivxlc1]+\b", ""))))
+
+
+def marks(pg: DataFrame) -> DataFrame:
+    """(source_file, page_number, line_no, defect) of the page numbers and running headers.
 
     A line of a number only, near the page's edge, is a page number if it differs from page_number by what most such
     lines of its file do. The first other line of a page is a header if, with its digits masked, it comes at the top of
-    other pages of the file, or of many files, rather than inside pages. The title that opens page 1 is no header.
+    other pages of the file, or of many files, rather than inside pages. The title that opens page 1 is no header. Only
+    lines near the edges are compared; all other lines are but counted, by hash.
     """
+    page = ["source_file", "page_number"]
+    n = F.size("ls")
+    near = F.filter(F.transform("ls", lambda x, i: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), i.alias("k"), (n - i - 1).alias("r"))), lambda x: (x["k"] < EDGE_LINES) | (x["r"] <= 2))
+    x = pg.select(*page, "parent_document", F.explode(near).alias("x")).select(*page, "parent_document", "x.*")
     digits = F.translate(F.regexp_extract("line", NUMBER_LINE, 1), "lIO|oSB", "1101058")
-    # a file has a few lines that look like page numbers a page
     edge = (F.col("k") <= 2) | (F.col("r") <= 2)
-    x = ls.withColumn("off", F.when(edge & (digits != "") & (F.length(digits) < 9), digits.cast("long") - F.col("page_number")))
+    x = x.withColumn("off", F.when(edge & (digits != "") & (F.length(digits) < 9), digits.cast("long") - F.col("page_number")))
     votes = x.where("off is not null").groupBy("source_file", "off").agg(F.count(F.lit(1)).alias("v"))
-    mode = votes.groupBy("source_file").agg(F.max(F.struct(F.col("v"), -F.abs(F.col("off")), F.col("off"))).alias("m")).select("source_file", F.col("m.off").alias("file_off"))
-    x = cut(x.join(mode, "source_file", "left").withColumn("number", F.coalesce(F.col("off") == F.col("file_off"), F.lit(False))).drop("off", "file_off"))
-    masked = F.regexp_replace("line", r"\b[0-9lIOo]*[0-9][0-9lIOo]*\b", "")
-    x = x.withColumn("mask", F.regexp_replace(skeleton(masked), r"[^\p{L}]+", " "))
-    x = x.withColumn("mask", _trim(F.col("mask"))).withColumn("kind", _trim(F.regexp_replace(F.regexp_replace(F.lower(masked), r"\b[ivxlc1]+\b", ""), r"[^\p{L}]+", " ")))
-    x = x.withColumn("kind", skeleton(F.col("kind")))
-    act = _trim(F.regexp_replace(skeleton(F.regexp_replace(F.coalesce("parent_document", F.lit("")), "[0-9]+", "")), r"[^\p{L}]+", " "))
-    x = cut(x.withColumn("act", act).withColumn("head", F.lit(False)))
+    mode = votes.groupBy("source_file").agg(F.max(F.struct(F.col("v"), -F.abs(F.col("off")), F.col("off"))).alias("m")).select("source_file", F.col("m.off").alias("off"))
+    numbers = x.where("off is not null").join(mode, ["source_file", "off"]).select(*page, "line_no", F.lit("page_number").alias("defect"))
+    act = _letters(skeleton(F.regexp_replace(F.coalesce("parent_document", F.lit("")), "[0-9]+", "")))
+    top = x.where(F.col("k") < EDGE_LINES).select(*page, "line_no", "line", "k", act.alias("act"), _letters(skeleton(_masked(F.col("line")))).alias("mask"), _kind(F.col("line")).alias("kind"))
+    found = cut(numbers)
+    rest = cut(top.join(found.select(*page, "line_no"), [*page, "line_no"], "left_anti"))
+    everywhere = pg.where("page_number > 1").select(F.explode(F.transform("ls", lambda x: _kind(x["line"]))).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("alls"))
+    everywhere = cut(everywhere.join(rest.select("kind").distinct(), "kind", "left_semi"))
     for _ in range(HEADER_LINES):
-        x = cut(_header(x))
-    kind = F.when(F.col("number"), "page_number").when(F.col("head"), "running_header")
-    return x.select("source_file", "page_number", "line_no", "line", "k", kind.alias("defect"))
+        heads = cut(_heads(rest, everywhere))
+        rest = cut(rest.join(heads, [*page, "line_no"], "left_anti"))
+        found = found.unionByName(heads.withColumn("defect", F.lit("running_header")))
+    return found
 
 
-def _header(x: DataFrame) -> DataFrame:
-    """x with `head` also where a page's first line that is neither a number nor a header so far is a header."""
+def _heads(rest: DataFrame, everywhere: DataFrame) -> DataFrame:
+    """(source_file, page_number, line_no) of the pages' first remaining lines that are headers."""
     page = ["source_file", "page_number"]
-    rest = x.where("not number and not head")
-    edge = rest.groupBy(*page).agg(F.min("k").alias("first"), F.array_sort(F.collect_list(F.when(F.col("k") < 8, F.struct("k", "mask")))).alias("ms"))
-    edge = edge.select(*page, "first", F.get("ms", F.lit(1))["mask"].alias("second"))
-    y = rest.join(edge, page).withColumn("top", F.col("k") == F.col("first"))
-    own = y.where("top").groupBy("source_file", "mask").agg(F.count(F.lit(1)).alias("own_pages"))
-    everywhere = y.where("page_number > 1 or top").groupBy("kind").agg(F.sum(F.col("top").cast("int")).alias("tops"), F.count(F.lit(1)).alias("alls"))
-    files = y.where("top").select("kind", "source_file").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("files"))
-    top = y.where("top and mask <> ''").join(own, ["source_file", "mask"]).join(everywhere.join(files, "kind"), "kind")
+    first = rest.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("k", "line_no", "line", "mask", "kind", "act"))).alias("ms"))
+    first = first.select(*page, F.col("ms")[0].alias("a"), F.get("ms", F.lit(1))["mask"].alias("second")).select(*page, "a.*", "second").where("mask <> ''")
+    own = first.groupBy("source_file", "mask").agg(F.count(F.lit(1)).alias("own_pages"))
+    kinds = first.groupBy("kind").agg(F.count(F.lit(1)).alias("tops"), F.sum((F.col("page_number") == 1).cast("int")).alias("opening"))
+    files = first.select("kind", "source_file").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("files"))
+    kinds = kinds.join(files, "kind").join(everywhere, "kind", "left").withColumn("alls", F.coalesce("alls", F.lit(0)) + F.col("opening"))
+    top = first.join(own, ["source_file", "mask"]).join(kinds, "kind")
     likely = ((F.col("own_pages") >= 2) & (F.col("tops") * 2 >= F.col("alls"))) | ((F.col("files") >= 3) & (F.col("tops") * 5 >= F.col("alls") * 4))
     # on page 1, a line that begins with the act's name is the title unless the next line begins with it too
     named = (F.col("act") != "") & F.col("mask").startswith(F.col("act")) & ~F.col("line").contains("|")
     title = (F.col("page_number") == 1) & named & ~F.coalesce(F.col("second").startswith(F.col("act")), F.lit(False))
-    heads = top.where(likely & ~title).select(*page, "line_no", F.lit(True).alias("now"))
-    return x.join(heads, [*page, "line_no"], "left").withColumn("head", F.col("head") | F.coalesce("now", F.lit(False))).drop("now")
+    return top.where(likely & ~title).select(*page, "line_no")
 
 
-def body(lay: DataFrame) -> DataFrame:
-    """The body's lines with the next body line, on the page or a later one, and whether a blank line lies between.
+def body(pg: DataFrame, mk: DataFrame) -> DataFrame:
+    """The body's lines with the lines before and after them, on the page or a neighbouring one.
 
-    Lines of a page are an array, so only pages are ordered: within blocks of PAGE_BLOCK pages, whose first pages are
-    then ordered by block. `starts` tells a line behind a blank line, `page_start` the first of its page.
+    `starts` tells a line behind a blank one, `page_start` the first of its page. `head` and `tail` are the parts of a
+    word that the line's end and the next line's beginning may share; `skip` tells a line that begins with such a rest.
+    Lines of a page stay in one row; pages are ordered by their first and last lines alone, within blocks of PAGE_BLOCK
+    pages, and the blocks by theirs.
     """
-    b = lay.where("defect is null").groupBy("source_file", "page_number").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
-    b = b.withColumn("block", F.floor(F.col("page_number") / PAGE_BLOCK)).withColumn("head", F.col("ls")[0])
-    heads = b.groupBy("source_file", "block").agg(F.min_by("head", "page_number").alias("block_head"))
-    nexts = heads.withColumn("block_next", F.lead("block_head").over(W.partitionBy("source_file").orderBy("block"))).drop("block_head")
+    page = ["source_file", "page_number"]
+    out = mk.groupBy(*page).agg(F.collect_set("line_no").alias("out"))
+    b = pg.join(out, page, "left").withColumn("out", F.coalesce("out", F.array().cast("array<int>")))
+    b = b.select(*page, F.filter("ls", lambda x: ~F.array_contains("out", x["line_no"])).alias("ls")).where(F.size("ls") > 0)
+    b = cut(b)
+    ends = b.select(*page, F.floor(F.col("page_number") / PAGE_BLOCK).alias("block"), F.col("ls")[0]["line"].alias("first"), F.element_at("ls", -1)["line"].alias("last"))
+    blocks = ends.groupBy("source_file", "block").agg(F.min_by("first", "page_number").alias("bf"), F.max_by("last", "page_number").alias("bl"))
+    wb = W.partitionBy("source_file").orderBy("block")
+    blocks = blocks.select("source_file", "block", F.lead("bf").over(wb).alias("bf"), F.lag("bl").over(wb).alias("bl"))
     w = W.partitionBy("source_file", "block").orderBy("page_number")
-    b = b.withColumn("page_next", F.lead("head").over(w)).join(nexts, ["source_file", "block"])
-    b = b.withColumn("page_next", F.coalesce("page_next", "block_next"))
-    x = b.select("source_file", "page_number", "page_next", F.col("ls").alias("all"), F.posexplode("ls").alias("i", "x"))
-    following = F.when(F.col("i") + 1 < F.size("all"), F.get("all", F.col("i") + 1)).otherwise(F.col("page_next"))
-    before = F.when(F.col("i") > 0, F.get("all", F.col("i") - 1))
-    x = x.select("source_file", "page_number", "x.line_no", "x.line", following["line"].alias("next"), (F.col("i") == 0).alias("page_start"), F.coalesce(F.col("x.line_no") - before["line_no"] > 1, F.lit(False)).alias("starts"), before["line"].alias("before"))
-    return x
-
-
-def _frags(x: DataFrame) -> DataFrame:
-    """Lines with `head` and `tail`, the parts of a word that their end and the next line's beginning may share."""
+    ends = ends.select(*page, "block", F.lead("first").over(w).alias("pf"), F.lag("last").over(w).alias("pl")).join(blocks, ["source_file", "block"])
+    ends = ends.select(*page, F.coalesce("pf", "bf").alias("page_next"), F.coalesce("pl", "bl").alias("page_before"))
+    x = b.join(ends, page).select(*page, "page_next", "page_before", F.col("ls").alias("all"), F.posexplode("ls").alias("i", "x"))
+    after, before = F.get("all", F.col("i") + 1), F.when(F.col("i") > 0, F.get("all", F.col("i") - 1))
+    following = F.when(F.col("i") + 1 < F.size("all"), after["line"]).otherwise(F.col("page_next"))
+    x = x.select(*page, "x.line_no", "x.line", following.alias("next"), F.coalesce(before["line"], F.when(F.col("i") == 0, F.col("page_before"))).alias("before"), (F.col("i") == 0).alias("page_start"), F.coalesce(F.col("x.line_no") - before["line_no"] > 1, F.lit(False)).alias("starts"))
+    broken = rf"[\p{{L}}\p{{Nd}}†@¨][{HYPHENS}]+$"
+    goes_on = r"^[\p{L}†@0-9ﬁﬂ]"
     head = F.regexp_extract("line", rf"(\S*[\p{{L}}\p{{Nd}}†@¨])[{HYPHENS}]+$", 1)
-    tail = F.regexp_extract("next", r"^(\S+)", 1)
-    fits = (head != "") & tail.rlike(r"^[\p{Ll}†@0-9\p{Lu}ﬁﬂ]")
-    return x.withColumn("head", F.when(fits, F.regexp_replace(head, rf"^{EDGE}+", ""))).withColumn("tail", F.when(fits, bare(tail)))
+    fits = (head != "") & F.coalesce(F.col("next").rlike(goes_on), F.lit(False))
+    x = x.withColumn("head", F.when(fits, F.regexp_replace(head, rf"^{EDGE}+", ""))).withColumn("tail", F.when(fits, bare(F.regexp_extract("next", r"^(\S+)", 1))))
+    return x.withColumn("skip", F.coalesce(F.col("before").rlike(broken), F.lit(False)) & F.col("line").rlike(goes_on))
 
 
 ODD = r"[\p{L}][0-9†@|¨]|[0-9†@|¨][\p{L}]|[†@|]|[ﬁﬂﬀ]|\p{Ll}\p{Lu}"
@@ -173,23 +193,28 @@ def vocabulary(ws: DataFrame) -> DataFrame:
 
 def repairs(b: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(misread words with their right form, best form of each skeleton)."""
-    ws = cut(words(b))
+    ws = words(b).withColumn("form", F.lower("word"))
     v = cut(vocabulary(ws))
     best = v.where("not odd").groupBy("skel").agg(F.max(F.struct("n", "form", "capital")).alias("b"))
-    best = best.select("skel", F.col("b.form").alias("best"), F.col("b.n").alias("best_n"), F.col("b.capital").alias("capital"))
-    # forms that another of their skeleton may stand for
-    doubt = v.drop("capital").join(best, "skel").where("form <> best and (odd or best_n >= n * %d)" % RATIO_IN_CONTEXT)
-    skels = doubt.select("skel").distinct()
-    near = ws.withColumn("form", F.lower("word")).join(v.join(skels, "skel").select("skel", "form"), "form")
-    support = near.where("prev is not null and prev <> ''").groupBy("prev", "skel", "form").agg(F.count(F.lit(1)).alias("m"))
+    best = cut(best.select("skel", F.col("b.form").alias("best"), F.col("b.n").alias("best_n"), F.col("b.capital").alias("capital")))
+    # forms that another of their skeleton may stand for, and all forms of those skeletons
+    doubt = cut(v.drop("capital").join(best, "skel").where("form <> best and (odd or best_n >= n * %d)" % RATIO_IN_CONTEXT))
+    rivals = cut(v.join(doubt.select("skel").distinct(), "skel", "left_semi").select("skel", "form"))
+    near = ws.where("prev is not null and prev <> ''").join(_small(rivals), "form")
+    support = near.groupBy("prev", "skel", "form").agg(F.count(F.lit(1)).alias("m"))
     support = support.groupBy("prev", "skel").agg(F.max(F.struct("m", "form")).alias("s")).select("prev", "skel", F.col("s.form").alias("usual"), F.col("s.m").alias("usual_n"))
-    cand = ws.withColumn("form", F.lower("word")).join(doubt.select("form", "skel", "n", "odd", "best", "best_n", "capital"), "form").join(support, ["prev", "skel"], "left")
+    cand = ws.join(_small(doubt.select("form", "skel", "n", "odd", "best", "best_n", "capital")), "form").join(support, ["prev", "skel"], "left")
     sure = F.col("odd") | (F.col("best_n") >= F.col("n") * RATIO) | (F.coalesce(F.col("usual") == F.col("best"), F.lit(False)) & (F.col("usual_n") >= 2))
     right = cased(F.col("best"), F.substring("word", 1, 1), F.col("begins"), F.col("word"), F.col("capital"))
     found = cand.where(sure).select("source_file", "page_number", "line_no", "word", right.alias("repaired")).where("word <> repaired")
     return found, best
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if it has few enough rows, which is counted; else as it is, for a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_FORMS else df
+
+
 def joined(b: DataFrame, best: DataFrame) -> DataFrame:
     """Words broken over a line's end: the parts put together as the corpus writes them, hyphenated or not.
 
@@ -210,27 +235,17 @@ def joined(b: DataFrame, best: DataFrame) -> DataFrame:
     return x.where(~apart).select("source_file", "page_number", "line_no", "head", "tail", repaired.alias("repaired"))
 
 
-def _marked(lay: DataFrame) -> DataFrame:
-    """The body with the fragments at line ends, and `skip` where a line begins with the rest of a word."""
-    b = _frags(body(lay))
-    went_on = F.coalesce(F.col("before").rlike(rf"[\p{{L}}\p{{Nd}}†@¨][{HYPHENS}]+$"), F.lit(False))
-    # the first line of a page goes on from the last of the page before
-    heads = b.where("head is not null").select("source_file", "page_number", "next").where("next is not null")
-    crossing = heads.select("source_file", F.col("next").alias("line")).distinct().withColumn("crossed", F.lit(True))
-    b = b.join(crossing, ["source_file", "line"], "left")
-    return cut(b.withColumn("skip", went_on | (F.col("page_start") & F.coalesce("crossed", F.lit(False)))).drop("crossed"))
-
-
 def damage(raw: DataFrame) -> DataFrame:
     """(source_file, page_number, line_no, defect, repaired) of every damaged place."""
-    lay = layout(lines(pages(raw)))
-    b = _marked(lay)
+    pg = cut(pages(raw))
+    mk = marks(pg)
+    b = body(pg, mk)
     wrong, best = repairs(b)
     broken = joined(b, best)
     cols = ["source_file", "page_number", "line_no"]
     out = broken.select(*cols, F.lit("broken_word").alias("defect"), "repaired")
     out = out.unionByName(wrong.select(*cols, F.lit("wrong_characters").alias("defect"), "repaired"))
-    return out.unionByName(lay.where("defect is not null").select(*cols, "defect", F.lit("").alias("repaired")))
+    return out.unionByName(mk.select(*cols, "defect", F.lit("").alias("repaired")))
 
 
 def paragraphs(raw: DataFrame) -> DataFrame:
@@ -239,7 +254,8 @@ def paragraphs(raw: DataFrame) -> DataFrame:
     A paragraph ends at a blank line, or at a page's end if its last line ends a sentence. A file of null or blank pages
     gives none.
     """
-    b = _marked(layout(lines(pages(raw))))
+    pg = cut(pages(raw))
+    b = body(pg, marks(pg))
     wrong, best = repairs(b)
     fix = wrong.groupBy("source_file", "page_number", "line_no").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "repaired")))).alias("fix"))
     whole = joined(b, best).select("source_file", "page_number", "line_no", F.col("repaired").alias("whole"), F.col("head").alias("part"), F.col("tail").alias("rest"))
@@ -258,14 +274,9 @@ def paragraphs(raw: DataFrame) -> DataFrame:
     last = F.element_at(ws, -1)
     text = F.transform(ws, mend)
     text = F.when(F.col("whole").isNotNull() & (F.size(ws) > 0), F.concat(F.slice(text, 1, F.greatest(F.size(ws) - 1, F.lit(0))), F.array(F.concat(F.regexp_extract(last, rf"^({EDGE}*)", 1), F.col("whole"), ended)))).otherwise(text)
-    breaks = F.col("starts") | (F.col("page_start") & F.coalesce(F.col("prev_last").rlike(r"[.!?:][”“»\"')]*$"), F.lit(True)))
-    # what the page before ends with, by blocks of pages as in body()
-    lasts = b.groupBy("source_file", "page_number").agg(F.max_by("line", "line_no").alias("last"), F.sum(F.col("starts").cast("int")).alias("inner")).withColumn("block", F.floor(F.col("page_number") / PAGE_BLOCK))
+    breaks = F.col("starts") | (F.col("page_start") & F.coalesce(F.col("before").rlike(r"[.!?:][”“»\"')]*$"), F.lit(True)))
+    x = x.withColumn("block", F.floor(F.col("page_number") / PAGE_BLOCK)).withColumn("breaks", breaks.cast("int"))
     w = W.partitionBy("source_file", "block").orderBy("page_number")
-    edge = lasts.groupBy("source_file", "block").agg(F.max_by("last", "page_number").alias("block_last"))
-    edge = edge.withColumn("before_block", F.lag("block_last").over(W.partitionBy("source_file").orderBy("block"))).drop("block_last")
-    lasts = lasts.withColumn("prev_last", F.lag("last").over(w)).join(edge, ["source_file", "block"]).withColumn("prev_last", F.coalesce("prev_last", "before_block"))
-    x = x.join(lasts.select("source_file", "page_number", "block", "prev_last"), ["source_file", "page_number"]).withColumn("breaks", breaks.cast("int"))
     x = x.select("source_file", "page_number", "block", "line_no", F.array_join(text, " ").alias("line"), "breaks")
     per = x.groupBy("source_file", "block", "page_number").agg(F.sum("breaks").alias("n"))
     per_block = per.groupBy("source_file", "block").agg(F.sum("n").alias("n"))
