@@ -1,0 +1,29 @@
+"""Prices of embedding and answering."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# USD per million tokens, by model; the defaults hold for models not listed.
+EMBED_PRICE = {"text-embedding-3-small": 0.02, "text-embedding-3-large": 0.13}
+EMBED_DEFAULT = 0.02
+INPUT_DEFAULT, OUTPUT_DEFAULT = 3.0, 15.0
+CHARS_PER_TOKEN = 4
+
+
+def _price(model: Column, table: dict[str, float], default: float) -> Column:
+    if not table:
+        return F.lit(default)
+    m = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(F.try_element_at(m, F.coalesce(model, F.lit(""))), F.lit(default))
+
+
+def embedding_cost(text: Column, model: str = "text-embedding-3-small") -> Column:
+    """Estimated cost of embedding all rows; an aggregate."""
+    return F.coalesce(F.sum(F.length(text)), F.lit(0)) / CHARS_PER_TOKEN / 1e6 * EMBED_PRICE.get(model, EMBED_DEFAULT)
+
+
+def answer_cost(model: Column, tokens_in: Column, tokens_out: Column, prices_in: dict[str, float] | None = None, prices_out: dict[str, float] | None = None) -> Column:
+    a, b = _price(model, prices_in or {}, INPUT_DEFAULT), _price(model, prices_out or {}, OUTPUT_DEFAULT)
+    return (tokens_in * a + tokens_out * b) / 1e6

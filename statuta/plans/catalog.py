@@ -1,15 +1,336 @@
-"""Every registered query and its SQL."""
+"""Every registered query over the test tables, and its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from statuta.config import EngineConfig
+from statuta.functions import payloads, refs, text
+from statuta.operators import bm25, chunk, costs, dense, fuse, golden, metrics, parse, provisions, store, verify
+from statuta.plans.catalog_sql import oracle_sql  # noqa: F401
+from statuta.sources import pages as page_sources
+from statuta.streaming.ingest import log_windows
+from statuta.runtime import table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+CFG = EngineConfig()
+#: A search's queries are the rows whose id this divides.
+EVERY = 20
+
+
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks' latest versions."""
+    return store.latest(table(spark, d, "chunks"))
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "golden_dataset").where((F.col("item_id") % EVERY == 0) & F.col("query").isNotNull())
+
+
+def bm25_term_stats(spark, d):
+    return bm25.term_stats(corpus(spark, d), "chunk_id", "text", CFG).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def bm25_topk(spark, d):
+    return bm25.search(questions(spark, d), corpus(spark, d), 5, qkey="item_id", cfg=CFG)
+
+
+def _vectors(spark, d):
+    v = table(spark, d, "embeddings")
+    return v, v.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def dense_topk_l2(spark, d):
+    v, q = _vectors(spark, d)
+    return dense.search(q, v, 10)
+
+
+def dense_topk_filtered(spark, d):
+    v, q = _vectors(spark, d)
+    return dense.search(q, v, 10, filters={"label": 3})
+
+
+def rrf_from_two_orders(spark, d):
+    v, q = _vectors(spark, d)
+    return fuse.rrf(dense.search(q, v, 20), dense.search(q, v, 20, filters={"label": [1, 2, 3]}), 10, key="vec_id")
+
+
+def _documents(spark, d):
+    """Documents with a vector, as chunks; the act they belong to is their label."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "doc_kind", "lang")
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return docs.where("text is not null").join(v, "chunk_id")
+
+
+def _hybrid(spark, d, k):
+    docs = _documents(spark, d)
+    first = F.array_join(F.slice(text.tokenise(F.col("text")), 1, 8), " ")
+    q = docs.where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), first.alias("query"), F.col("embedding").alias("vector"))
+    wide = max(3 * k, 20)
+    return q, docs, fuse.rrf(dense.search(q, docs, wide, key="chunk_id"), bm25.search(q, docs, wide, cfg=CFG), k)
+
+
+def hybrid_rrf(spark, d):
+    return _hybrid(spark, d, 20)[2]
+
+
+def rerank_penalty_topk(spark, d):
+    q, docs, hits = _hybrid(spark, d, 20)
+    full = hits.join(docs.select("chunk_id", "text", "doc_kind"), "chunk_id").join(q.select("query_id", "query"), "query_id")
+    scored = fuse.rerank(full, fuse.overlap_score(F.col("query"), F.col("text")))
+    top = fuse.operative_first(scored, 3, CFG.recital_penalty, kind="doc_kind", penalised="minutes")
+    return top.select("query_id", "chunk_id", "score", "rank")
+
+
+def chunk_structural_ids(spark, d):
+    u = table(spark, d, "chunks").select("parent_document", "chunk_index", "article_number", "text")
+    return chunk.structural(u, "run").select("chunk_id", "parent_document", "chunk_index").distinct()
+
+
+def chunk_fixed_size(spark, d):
+    u = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("parent_document"), F.lit(0).alias("chunk_index"), "text", F.col("doc_kind").alias("section_type"))
+    return chunk.fixed_size(u, CFG.chunk_words, CFG.chunk_overlap).select("parent_document", "chunk_index", "section_type", "chunk_id")
+
+
+def upsert_latest(spark, d):
+    c = table(spark, d, "chunks").select("chunk_id", "article_number", "ingestion_run_id", "ingested_at")
+    first = c.where(F.col("ingestion_run_id") == "none")
+    return store.upsert(first, store.latest(c)).select("chunk_id", "ingestion_run_id", "article_number")
+
+
+def collection_count(spark, d):
+    return corpus(spark, d).agg(F.count(F.lit(1)).alias("n"))
+
+
+def point_lookup(spark, d):
+    c = table(spark, d, "chunks")
+    first = c.agg(F.min("chunk_id")).first()[0]
+    return store.lookup(corpus(spark, d), "chunk_id", first).select("chunk_id", "article_number", "title")
+
+
+def store_codec(spark, d):
+    return store.flat(corpus(spark, d).select("chunk_id", "article_number", "title", "cross_references"))
+
+
+def shingle_owner_unique(spark, d):
+    return provisions.owners(corpus(spark, d), CFG.shingle).groupBy("owner").agg(F.count(F.lit(1)).alias("grams"))
+
+
+def provision_containment(spark, d):
+    c = corpus(spark, d)
+    return provisions.contained(c, provisions.owners(c, CFG.shingle), "chunk_id", size=CFG.shingle)
+
+
+def _hit_records(spark, d):
+    """Each question's five lexical hits, and whether their text holds one of its provisions."""
+    c, q = corpus(spark, d), questions(spark, d)
+    hits = bm25.search(q, c, 5, qkey="item_id", cfg=CFG)
+    held = provisions.in_order(provisions.contained(c, provisions.owners(c, CFG.shingle), "chunk_id", size=CFG.shingle), "chunk_id")
+    none = F.array().cast("array<string>")
+    h = hits.join(held, "chunk_id", "left").join(q.select("item_id", "gold_provisions"), "item_id")
+    return q, h.withColumn("hit", provisions.contains_any(F.coalesce("provisions", none), F.coalesce("gold_provisions", none)))
+
+
+def ir_metrics_per_query(spark, d):
+    q, h = _hit_records(spark, d)
+    return metrics.per_query(q, h, "item_id")
+
+
+def ir_metrics_summary(spark, d):
+    q, h = _hit_records(spark, d)
+    m = metrics.per_query(q, h, "item_id")
+    return m.agg(F.count(F.lit(1)).alias("n"), *[metrics.mean(F.col(x)).alias(x) for x in metrics.METRICS])
+
+
+def _records(spark, d):
+    """Logged answers as evaluation records: a run per model, context from the chunks they were given."""
+    r = table(spark, d, "llm_responses").where("answer is not null and model is not null")
+    c = corpus(spark, d).select("chunk_id", "article_number", "text")
+    given = r.select("response_id", F.explode("retrieved_chunk_ids").alias("chunk_id")).join(c, "chunk_id")
+    given = given.groupBy("response_id").agg(F.array_sort(F.collect_set("article_number")).alias("labels"), F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("context"))
+    none = F.array().cast("array<string>")
+    x = r.join(given, "response_id", "left").withColumn("labels", F.coalesce("labels", none)).withColumn("context", F.coalesce("context", F.lit("")))
+    cs = refs.citations(F.col("answer"))
+    st = F.transform(cs, lambda a: refs.citation_status(a, none, F.col("labels"), F.col("context")))
+    x = x.withColumn("st", st)
+    n = lambda s: F.size(F.filter("st", lambda v: v == s)).alias(f"n_{s}")
+    unit = F.lit(None).cast("double")
+    return x.select(
+        F.col("model").alias("tag"), "response_id", F.col("query_id").isNull().alias("is_unanswerable"), refs.declines(F.col("answer")).alias("declined"), F.size("st").alias("n_citations"),
+        n("retrieved"), n("wrong_label"), n("cross_reference"), n("unsupported"), verify.completeness(F.col("answer")).alias("citation_completeness"), refs.bad_framing(F.col("answer")).alias("bad_framing"),
+        F.length("context").alias("context_chars"), F.col("cost_usd"), F.col("latency_ms"), *[unit.alias(m) for m in metrics.METRICS],
+    )
+
+
+def run_summary(spark, d):
+    s = metrics.summary(_records(spark, d))
+    return s.select("tag", "n_questions", "n_answerable", "n_unanswerable", "unanswerable_declined", "answerable_declined", "citations_grounded", "citations_wrong_label", "citations_cross_reference", "citations_unsupported", "n_citations", "citation_completeness", "bad_framing_rate")
+
+
+def compare_runs_pivot(spark, d):
+    s = metrics.summary(_records(spark, d))
+    tags = [r[0] for r in table(spark, d, "llm_responses").where("model is not null").select("model").distinct().orderBy("model").collect()]
+    return metrics.compare(s.drop("avg_context_chars", "avg_cost_usd"), tags)
+
+
+def run_join_ab(spark, d):
+    r = table(spark, d, "llm_responses").where("query_id is not null")
+    side = lambda m, n: r.where(F.col("model") == m).groupBy("query_id").agg(F.min("response_id").alias(n))
+    return side("answerer-large", "a").join(side("answerer-small", "b"), "query_id", "left")
+
+
+def dedup_normalized_text(spark, d):
+    return golden.dedup(table(spark, d, "golden_dataset").where("query is not null").select("item_id", "query"), order="item_id").select("item_id")
+
+
+def antijoin_new(spark, d):
+    c = table(spark, d, "candidate_records").select("record_id", F.get_json_object("payload", "$.query").alias("query")).where("query is not null")
+    return golden.only_new(c, table(spark, d, "golden_dataset").where("query is not null"))
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def set_gaps(spark, d):
+    return parse.gaps(corpus(spark, d).where(F.col("parent_document").isNotNull()).select("parent_document", "article_number"))
+
+
+def duplicate_labels(spark, d):
+    return parse.duplicates(corpus(spark, d).where(F.col("parent_document").isNotNull()).select("parent_document", "article_number"))
+
+
+def sentence_completeness(spark, d):
+    a = table(spark, d, "llm_responses").where("answer is not null")
+    return a.select("response_id", text.factual_sentences(F.col("answer")).alias("factual"), F.round(verify.completeness(F.col("answer")), 6).alias("completeness"))
+
+
+def citation_extract(spark, d):
+    return table(spark, d, "llm_responses").select("response_id", F.posexplode(refs.citations(F.col("answer"))).alias("pos", "citation"))
+
+
+def parse_reference(spark, d):
+    g = table(spark, d, "golden_dataset").select("source_article").distinct()
+    p = refs.parse(F.col("source_article"))
+    return g.where("source_article is not null").select("source_article", p["kind"].alias("kind"), p["number"].alias("number"), F.array_join(p["path"], "/").alias("path"))
+
+
+def citation_verify(spark, d):
+    r = table(spark, d, "llm_responses").where("answer is not null")
+    c = corpus(spark, d).select("chunk_id", "article_number", "text")
+    given = r.select("response_id", F.explode("retrieved_chunk_ids").alias("chunk_id")).join(c, "chunk_id").groupBy("response_id").agg(F.collect_list("article_number").alias("labels"), F.collect_list("text").alias("texts"))
+    none = F.array().cast("array<string>")
+    x = r.select("response_id", "answer").join(given, "response_id", "left").withColumn("labels", F.coalesce("labels", none)).withColumn("texts", F.coalesce("texts", none))
+    v = verify.verify(x)
+    return v.select("response_id", F.size("matched").alias("matched"), F.size("missing").alias("missing"), F.size("cross_referenced").alias("cross_referenced"), F.round("accuracy", 6).alias("accuracy"), "bad_framing")
+
+
+def citation_statuses(spark, d):
+    return _records(spark, d).select("response_id", "n_wrong_label", "n_cross_reference", "n_unsupported")
+
+
+def decline_framing(spark, d):
+    return table(spark, d, "llm_responses").select("response_id", refs.declines(F.col("answer")).alias("declined"), refs.bad_framing(F.col("answer")).alias("bad_framing"))
+
+
+def cross_reference_edges(spark, d):
+    c = corpus(spark, d)
+    return c.select("chunk_id", F.explode(refs.cross_references(F.col("text"))).alias("target"))
+
+
+def classify_section(spark, d):
+    return corpus(spark, d).select("title").distinct().where("title is not null").select("title", refs.section_kind(F.col("title")).alias("section_type"))
+
+
+def parse_units(spark, d):
+    return parse.units(table(spark, d, "raw_pages").dropDuplicates(["source_file", "page_number"])).select("parent_document", "article_number", "section_type", "title", "chunk_index", "text")
+
+
+def structure_summary(spark, d):
+    return parse.structure(corpus(spark, d).where(F.col("parent_document").isNotNull()).select("parent_document", "article_number"))
+
+
+def _strata(spark, d):
+    g = table(spark, d, "golden_dataset").where("query_type is not null and difficulty is not null")
+    return g.select("item_id", "query", "query_type", "difficulty", "source_article", "expected_answer_elements", "gold_provisions", "notes", "is_unanswerable").withColumn("score", golden.score(F.col("gold_provisions"), F.col("expected_answer_elements"), F.col("notes"), F.col("query")))
+
+
+def candidate_score(spark, d):
+    return _strata(spark, d).select("item_id", "score")
+
+
+def stratified_split(spark, d):
+    return golden.stratified_split(_strata(spark, d), ["query_type", "difficulty"], "item_id").select("item_id", "query_type", "difficulty", "split")
+
+
+def priority_pick(spark, d):
+    return golden.priority_picks(_strata(spark, d)).select("source_article", "level", "item_id", "score")
+
+
+def quota_select(spark, d):
+    return golden.quota_select(_strata(spark, d), 45).select("item_id", "query_type", "difficulty", "score")
+
+
+def golden_left_join(spark, d):
+    g = table(spark, d, "golden_dataset").select("item_id", "source_article")
+    a = golden.attach_chunks(g, corpus(spark, d))
+    return a.select("item_id", F.size("relevant_chunk_ids").alias("chunks"), F.coalesce(F.get("relevant_chunk_ids", F.lit(0)), F.lit("")).alias("first"))
+
+
+def missing_gold_labels(spark, d):
+    return golden.missing_labels(table(spark, d, "golden_dataset"), corpus(spark, d))
+
+
+def golden_counters(spark, d):
+    return golden.counters(table(spark, d, "golden_dataset"))
+
+
+def text_page_quality(spark, d):
+    q = page_sources.quality(table(spark, d, "raw_pages"))
+    return q.select("source_file", "pages", "chars", "short_pages", F.round("filled_share", 6).alias("filled_share"))
+
+
+def embedding_cost(spark, d):
+    return table(spark, d, "documents").agg(F.round(costs.embedding_cost(text.truncated(F.col("text"), CFG.embed_chars)), 9).alias("usd"))
+
+
+def answer_cost(spark, d):
+    r = table(spark, d, "llm_responses")
+    return r.select("response_id", F.round(costs.answer_cost(F.col("model"), F.col("input_tokens"), F.col("output_tokens")), 9).alias("usd"))
+
+
+def failure_counts(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "event_type")
+
+
+def prompt_context(spark, d):
+    c, q = corpus(spark, d), questions(spark, d)
+    r = table(spark, d, "llm_responses").where((F.col("response_id") % EVERY == 0) & F.col("query").isNotNull())
+    hits = r.select("response_id", "query", F.posexplode(F.array_distinct("retrieved_chunk_ids")).alias("rank", "chunk_id")).join(c.select("chunk_id", "article_number", "title", "text"), "chunk_id")
+    return payloads.prompts(hits, "response_id").select("response_id", F.length("prompt").alias("chars"), F.sha2("prompt", 256).alias("hash"))
+
+
+def judge_json_parse(spark, d):
+    e = table(spark, d, "events").select("event_id", F.concat(F.lit("verdict: "), F.replace("props", F.lit('"k"'), F.lit('"score"'))).alias("raw"))
+    return e.select("event_id", payloads.judgement(F.col("raw"))["score"].alias("score"))
+
+
+def tolerant_objects(spark, d):
+    c = table(spark, d, "candidate_records")
+    return c.select("record_id", F.size(payloads.objects(F.concat(F.lit("Here: ["), "payload", F.lit("]")), "struct<query:string,difficulty:string>")).alias("objects"))
+
+
+def events_windowed(spark, d):
+    return log_windows(table(spark, d, "events")).select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+NAMES = (
+    "bm25_term_stats", "bm25_topk", "dense_topk_l2", "dense_topk_filtered", "rrf_from_two_orders", "hybrid_rrf", "rerank_penalty_topk", "chunk_structural_ids", "chunk_fixed_size",
+    "upsert_latest", "collection_count", "point_lookup", "store_codec", "shingle_owner_unique", "provision_containment", "ir_metrics_per_query", "ir_metrics_summary", "run_summary",
+    "compare_runs_pivot", "run_join_ab", "dedup_normalized_text", "antijoin_new", "set_gaps", "duplicate_labels", "sentence_completeness", "citation_extract", "parse_reference",
+    "citation_verify", "citation_statuses", "decline_framing", "cross_reference_edges", "classify_section", "parse_units", "structure_summary", "candidate_score", "stratified_split",
+    "priority_pick", "quota_select", "golden_left_join", "missing_gold_labels", "golden_counters", "text_page_quality", "embedding_cost", "answer_cost", "failure_counts", "prompt_context",
+    "judge_json_parse", "tolerant_objects", "events_windowed",
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {n: globals()[n] for n in NAMES}
