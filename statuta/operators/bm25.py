@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,22 +14,69 @@ from statuta.config import EngineConfig
 from statuta.functions.text import tokenise
 from statuta.runtime import cut
 
+#: Documents and queries of a block, and queries that a task scores at once.
+BLOCK, QUERY_BLOCK, SUB = 2048, 4096, 512
+
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, dl, term, tf); documents without terms have none."""
-    t = docs.select(F.col(key), tokenise(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
-    return t.select(key, "dl", F.explode("w").alias("term")).groupBy(key, "term").agg(F.first("dl").alias("dl"), F.count(F.lit(1)).alias("tf"))
+def corpus_stats(docs: DataFrame, text: str) -> tuple[int, float]:
+    """(number of documents, average number of tokens)."""
+    n, avg = docs.agg(F.count(F.lit(1)), F.avg(F.size(tokenise(F.col(text))))).first()
+    return n, avg or 0.0
 
 
-def term_stats(docs: DataFrame, key: str, text: str, cfg: EngineConfig = EngineConfig(), p: DataFrame | None = None) -> DataFrame:
-    """(term, df, idf, avgdl): negative idf is replaced by epsilon times the mean of all, negatives included."""
-    p = p if p is not None else postings(docs, key, text)
-    n = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokenise(F.col(text)))).alias("avgdl")).withColumn("one", F.lit(1))
-    raw = p.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("one", F.lit(1)).join(F.broadcast(n), "one")  # n: one row
-    raw = raw.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def term_stats(docs: DataFrame, text: str, cfg: EngineConfig = EngineConfig(), n: int | None = None) -> DataFrame:
+    """(term, df, idf): negative idf is replaced by epsilon times the mean of all, negatives included.
+
+    Each document sends a term once, and counts are summed before the shuffle.
+    """
+    n = n if n is not None else docs.count()
+    df = docs.select(F.explode(F.array_distinct(tokenise(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).withColumn("one", F.lit(1))
     mean = raw.agg(F.avg("raw").alias("mean")).withColumn("one", F.lit(1))
     idf = F.when(F.col("raw") < 0, cfg.epsilon * F.col("mean")).otherwise(F.col("raw"))
-    return raw.join(F.broadcast(mean), "one").select("term", "df", idf.alias("idf"), "avgdl")
+    return raw.join(F.broadcast(mean), "one").select("term", "df", idf.alias("idf"))  # mean: one row
+
+
+def _scorer(qkey: str, key: str, k: int, avgdl: float, cfg: EngineConfig):
+    """Scores a block of queries against a block of documents as matrix products over the terms that both have."""
+
+    def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({qkey: q[qkey][:0], key: d[key][:0], "score": np.zeros(0)})
+        if not len(q) or not len(d):
+            return none
+        d = d.sort_values(key)
+        asked = {t for ts in q["ts"] for t in ts}
+        at: dict[str, int] = {}
+        rows, cols, tfs, dl = [], [], [], np.empty(len(d))
+        for i, ws in enumerate(d["ws"]):
+            dl[i] = len(ws)
+            c = Counter(w for w in ws if w in asked)
+            rows += [i] * len(c)
+            cols += [at.setdefault(w, len(at)) for w in c]
+            tfs += c.values()
+        if not at:
+            return none
+        tf = np.zeros((len(d), len(at)))
+        tf[rows, cols] = tfs
+        weight = tf * (cfg.k1 + 1) / (tf + (cfg.k1 * (1 - cfg.b + cfg.b * dl / avgdl))[:, None])
+        keys, out = d[key].to_numpy(), []
+        for lo in range(0, len(q), SUB):
+            part = q.iloc[lo : lo + SUB]
+            m = np.zeros((len(part), len(at)))
+            for i, (ts, ws) in enumerate(zip(part["ts"], part["ws"])):
+                for t, w in zip(ts, ws):
+                    if t in at:
+                        m[i, at[t]] += w
+            s = m @ weight.T
+            n = min(k, s.shape[1])
+            limit = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n : s.shape[1] - n + 1] - 2e-6
+            # what is about as good as the k-th stays, so that rounding and ties are settled later; so do all documents
+            # below 0, which must not be taken for ones without a shared term
+            i, j = np.nonzero((s != 0) & ((s >= limit) | (s < 0)))
+            out.append(pd.DataFrame({qkey: part[qkey].to_numpy()[i], key: keys[j], "score": s[i, j]}))
+        return pd.concat(out)
+
+    return run
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int, qkey: str = "query_id", qtext: str = "query", key: str = "chunk_id", text: str = "text", cfg: EngineConfig = EngineConfig()) -> DataFrame:
@@ -33,23 +84,29 @@ def search(queries: DataFrame, docs: DataFrame, k: int, qkey: str = "query_id",
 
     Scores are rounded to 6 places and ties go to the smaller key, the corpus' order. A term that a query repeats counts
     again. Documents that share no term score 0 and fill up what is missing to k. A query without terms gets the first
-    k documents. The best k are cut before the shuffle; texts are never carried along.
+    k documents. idf joins the queries' terms alone; blocks of queries meet blocks of documents as matrix products, so
+    a frequent term is no hot key, and each pair of blocks sends on about k documents a query.
     """
-    p = postings(docs, key, text)
-    st = term_stats(docs, key, text, cfg, p)
+    n, avgdl = corpus_stats(docs, text)
     q = queries.select(F.col(qkey), F.explode(tokenise(F.col(qtext))).alias("term")).groupBy(qkey, "term").agg(F.count(F.lit(1)).alias("qf"))
-    used = p.join(q.select("term").distinct(), "term", "left_semi").join(st, "term")
-    tf, norm = F.col("tf"), cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.col("avgdl"))
-    weight = F.col("idf") * tf * (cfg.k1 + 1) / (tf + norm)
-    hits = q.join(used.select("term", key, weight.alias("w")), "term").groupBy(qkey, key).agg(F.round(F.sum(F.col("w") * F.col("qf")), 6).alias("score"))
-    top = row_top(hits, qkey, key, k)
+    q = q.join(term_stats(docs, text, cfg, n), "term").groupBy(qkey).agg(F.collect_list(F.struct("term", (F.col("qf") * F.col("idf")).alias("w"))).alias("x"))
+    q = cut(q.select(qkey, F.transform("x", lambda x: x["term"]).alias("ts"), F.transform("x", lambda x: x["w"]).alias("ws")))
+    d = docs.select(key, tokenise(F.col(text)).alias("ws"))
+    nq, nd = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-n // BLOCK))
+    long = lambda x: F.lit(x).cast("long")
+    a = q.withColumn("qb", F.pmod(F.xxhash64(qkey), long(nq))).withColumn("db", F.explode(F.sequence(long(0), long(nd - 1))))
+    b = d.withColumn("db", F.pmod(F.xxhash64(key), long(nd))).withColumn("qb", F.explode(F.sequence(long(0), long(nq - 1))))
+    kinds = {c: x.schema[c].dataType.simpleString() for x, c in ((queries, qkey), (docs, key))}
+    hits = a.groupBy("qb", "db").cogroup(b.groupBy("qb", "db")).applyInPandas(_scorer(qkey, key, k, avgdl, cfg), f"`{qkey}` {kinds[qkey]}, `{key}` {kinds[key]}, score double")
+    hits = cut(hits.withColumn("score", F.round("score", 6)))
     # queries with fewer than k documents above 0 also look at those that score 0, in corpus order
     have = hits.groupBy(qkey).agg(F.count(F.lit(1)).alias("m"), F.sum((F.col("score") > 0).cast("int")).alias("pos"))
     lack = queries.select(qkey).join(have, qkey, "left").fillna(0, ["m", "pos"]).where(F.col("pos") < k)
-    lack = lack.select(qkey, F.explode(F.sequence(F.lit(1), (F.col("m") + k).cast("int"))).alias("at"))
-    place = _places(docs, key)
-    zero = lack.join(place, "at").join(hits.select(qkey, key), [qkey, key], "left_anti").select(qkey, key, F.lit(0.0).alias("score"))
-    return row_top(top.select(qkey, key, "score").unionByName(zero), qkey, key, k)
+    if lack.limit(1).count():
+        lack = lack.select(qkey, F.explode(F.sequence(F.lit(1), (F.col("m") + k).cast("int"))).alias("at"))
+        zero = lack.join(_places(docs, key), "at").join(hits.select(qkey, key), [qkey, key], "left_anti").select(qkey, key, F.lit(0.0).alias("score"))
+        hits = hits.unionByName(zero)
+    return row_top(hits, qkey, key, k)
 
 
 def _places(docs: DataFrame, key: str) -> DataFrame:

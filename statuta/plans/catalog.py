@@ -30,7 +30,7 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_term_stats(spark, d):
-    return bm25.term_stats(corpus(spark, d), "chunk_id", "text", CFG).select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25.term_stats(corpus(spark, d), "text", CFG).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark, d):
@@ -59,7 +59,7 @@ def rrf_from_two_orders(spark, d):
 
 def _documents(spark, d):
     """Documents with a vector, as chunks; the act they belong to is their label."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "doc_kind", "lang")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "doc_kind")
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     return docs.where("text is not null").join(v, "chunk_id")
 
