@@ -22,7 +22,7 @@ PAIRS = (("rn", "m"), ("vv", "w"), ("cl", "d"), ("ll", "u"))
 HYPHENS = "-‐­¬"
 #: A word of letters alone counts as misread beside a form of the same skeleton that is so many times as frequent; less
 #: will do where the word before it supports that form, and none where it holds glyphs that no word has.
-RATIO, RATIO_IN_CONTEXT = 50, 8
+RATIO, RATIO_IN_CONTEXT = 50, 4
 NUMBER = "[0-9lIO|oSB]+"
 NUMBER_LINE = rf"(?i)^(?:[-—–\[]|p\.|page|seite|s\.)?\s*({NUMBER})\s*(?:(?:/|of|von)\s*{NUMBER}\s*)?[-—–\]]?$"
 EDGE = r"[.,;:()“”„\"'’‘—–!?\[\]…«»·]"
