@@ -4,7 +4,5 @@ from statuta.runtime import make_session
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    s = make_session(4, partitions=4, memory="4g")
-    s.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    return s
+def spark():
+    return make_session(8, partitions=2, memory="4g")
