@@ -1,9 +1,9 @@
 """Retrieval metrics, run summaries and their comparison."""
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def recall(k: int, rank: str = "rank", hit: str = "hit") -> Column:
@@ -89,14 +89,19 @@ def long(summaries: DataFrame, tag: str = "tag") -> DataFrame:
     return summaries.select(F.col(tag).alias("tag"), F.explode(rows).alias("x")).select("tag", "x.*")
 
 
-def format_value(metric: Column, value: Column) -> Column:
-    """not run, a price with 4 places, thousands without places over 100, else 2 places."""
-    return (
-        F.when(value.isNull(), "not run")
-        .when(metric == "avg_cost_usd", F.format_string("$%.4f", value))
-        .when(value > 100, F.format_number(value, 0))
-        .otherwise(F.format_string("%.2f", value))
-    )
+@F.pandas_udf(T.StringType())
+def format_value(metric: pd.Series, value: pd.Series) -> pd.Series:
+    """not run, a price with 4 places, whole thousands over 100, else 2 places.
+
+    The JVM rounds the shortest decimal, this rounds the double itself; the table it serves has a few rows.
+    """
+
+    def show(m: str, v: float | None) -> str:
+        if v is None or pd.isna(v):
+            return "not run"
+        return f"${v:.4f}" if m == "avg_cost_usd" else f"{v:,.0f}" if v > 100 else f"{v:.2f}"
+
+    return pd.Series([show(m, v) for m, v in zip(metric, value)], dtype="object")
 
 
 def compare(summaries: DataFrame, tags: list[str]) -> DataFrame:

@@ -126,6 +126,21 @@ SCORE = "(case when len(coalesce(gold_provisions, [])) > 0 then 3.0 else 0 end +
 STRATA = f"s as (select item_id, query_type, difficulty, source_article, {SCORE} as score from golden_dataset where query_type is not null and difficulty is not null)"
 
 
+def _comparison() -> str:
+    """(label, tag, shown) of each metric that a comparison lists; retrieval, judges, sizes and prices weren't run."""
+    run = {
+        "Citations: cited text was retrieved": "citations_grounded", "Citations: label of a passage whose text is another provision": "citations_wrong_label", "Citations: cross-reference named in retrieved text": "citations_cross_reference",
+        "Citations: unsupported": "citations_unsupported", "Unanswerable questions declined": "unanswerable_declined", "Answerable questions declined": "answerable_declined",
+    }
+    missing = ("Recall@1", "Recall@3", "Recall@5", "MRR", "Completeness vs the Act (judge)", "Faithfulness to retrieved text (judge)", "Factual consistency (judge)", "Answer relevance (judge)", "Avg characters sent to the LLM", "Avg cost per question (USD)")
+    rows = [f"select '{n}' as label, tag, printf('%.2f', {c}) as shown from summary" for n, c in run.items()]
+    return " union all ".join(rows + [f"select '{n}', tag, null from summary" for n in missing])
+
+
+def _shown(tag: str) -> str:
+    return f"coalesce(max(case when tag = '{tag}' then shown end), 'not run') as \"{tag}\""
+
+
 def _quotas() -> str:
     rows = []
     for t, a in (("factual", 0.35), ("procedural", 0.30), ("conceptual", 0.20), ("cross_reference", 0.15)):
@@ -160,6 +175,7 @@ def oracle_sql() -> dict[str, str]:
         "ir_metrics_per_query": f"with {IR} select * from m",
         "ir_metrics_summary": f"with {IR} select count(*) as n, round(avg(recall_at_1), 3) as recall_at_1, round(avg(recall_at_3), 3) as recall_at_3, round(avg(recall_at_5), 3) as recall_at_5, round(avg(mrr), 3) as mrr, round(avg(precision_at_5), 3) as precision_at_5 from m",
         "run_summary": f"with {RECORDS} select * from summary",
+        "compare_runs_pivot": f"with {RECORDS}, l as ({_comparison()}) select label as metric, {', '.join(_shown(t) for t in ('answerer-large', 'answerer-small', 'answerer-trial'))} from l group by label",
         "run_join_ab": "with a as (select query_id, min(response_id) as a from llm_responses where query_id is not null and model = 'answerer-large' group by 1), b as (select query_id, min(response_id) as b from llm_responses where query_id is not null and model = 'answerer-small' group by 1) select query_id, a, b from a left join b using (query_id)",
         "dedup_normalized_text": f"select min(item_id) as item_id from golden_dataset where query is not null group by lower({STRIP.format('query')})[1:80]",
         "antijoin_new": "select record_id, payload ->> '$.query' as query from candidate_records where payload ->> '$.query' is not null and payload ->> '$.query' not in (select query from golden_dataset where query is not null)",
