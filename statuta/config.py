@@ -39,7 +39,7 @@ class EngineConfig:
             c = replace(c, rerank_candidates=int(env["RAG_RERANK_CANDIDATES"]))
         if "RAG_RECITAL_PENALTY" in env:
             c = replace(c, recital_penalty=float(env["RAG_RECITAL_PENALTY"]))
-        return replace(c, corpus=env["RAG_CORPUS"]) if "RAG_CORPUS" in env else c
+        return replace(c, corpus=env["RAG_CORPUS_VERSION"]) if "RAG_CORPUS_VERSION" in env else c
 
     @property
     def expanded_k(self) -> int:
