@@ -127,9 +127,8 @@ def _hit_records(spark, d):
     """Each question's five lexical hits, and whether their text holds one of its provisions."""
     c, q = corpus(spark, d), questions(spark, d)
     hits = bm25.search(q, c, 5, qkey="item_id", cfg=CFG)
-    held = provisions.in_order(provisions.contained(c, provisions.owners(c, CFG.shingle), "chunk_id", size=CFG.shingle), "chunk_id")
     none = F.array().cast("array<string>")
-    h = hits.join(held, "chunk_id", "left").join(q.select("item_id", "gold_provisions"), "item_id")
+    h = hits.join(_held(c), "chunk_id", "left").join(q.select("item_id", "gold_provisions"), "item_id")
     return q, h.withColumn("hit", provisions.contains_any(F.coalesce("provisions", none), F.coalesce("gold_provisions", none)))
 
 
@@ -144,35 +143,51 @@ def ir_metrics_summary(spark, d):
     return m.agg(F.count(F.lit(1)).alias("n"), *[metrics.mean(F.col(x)).alias(x) for x in metrics.METRICS])
 
 
+def _held(c):
+    """Each chunk's provisions, in order of appearance in its text."""
+    return provisions.in_order(provisions.contained(c, provisions.owners(c, CFG.shingle), "chunk_id", size=CFG.shingle), "chunk_id")
+
+
 def _records(spark, d):
-    """Logged answers as evaluation records: a run per model, context from the chunks they were given."""
-    r = table(spark, d, "llm_responses").where("answer is not null and model is not null")
+    """Logged answers as evaluation records, whatever their model: context, and provisions shown, from the chunks they were given.
+
+    Retrieval is measured against the gold of the question's latest delivery; free user questions have none, so null.
+    """
+    r = table(spark, d, "llm_responses").where("answer is not null")
     c = corpus(spark, d).select("chunk_id", "article_number", "text")
-    given = r.select("response_id", F.explode("retrieved_chunk_ids").alias("chunk_id")).join(c, "chunk_id")
-    given = given.groupBy("response_id").agg(F.array_sort(F.collect_set("article_number")).alias("labels"), F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("context"))
     none = F.array().cast("array<string>")
-    x = r.join(given, "response_id", "left").withColumn("labels", F.coalesce("labels", none)).withColumn("context", F.coalesce("context", F.lit("")))
+    hits = r.select("response_id", "query_id", F.posexplode(F.array_distinct("retrieved_chunk_ids")).alias("rank", "chunk_id")).join(_held(c), "chunk_id", "left").withColumn("provisions", F.coalesce("provisions", none))
+    given = hits.join(c, "chunk_id").groupBy("response_id").agg(
+        F.array_sort(F.collect_set("article_number")).alias("labels"), F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("context"), F.array_distinct(F.flatten(F.collect_list("provisions"))).alias("shown")
+    )
+    gold = table(spark, d, "golden_dataset").where("query_id is not null").groupBy("query_id").agg(F.max(F.struct("loaded_at", "item_id", "gold_provisions"))["gold_provisions"].alias("gold_provisions"))
+    asked = r.select("response_id", "query_id").join(gold, "query_id")
+    h = hits.drop("query_id").join(asked, "response_id").withColumn("hit", provisions.contains_any(F.col("provisions"), F.coalesce("gold_provisions", none)))
+    x = r.join(given, "response_id", "left").join(metrics.per_query(asked, h, "response_id"), "response_id", "left")
+    x = x.withColumns({k: F.coalesce(k, none) for k in ("labels", "shown")}).withColumn("context", F.coalesce("context", F.lit("")))
     cs = refs.citations(F.col("answer"))
-    st = F.transform(cs, lambda a: refs.citation_status(a, none, F.col("labels"), F.col("context")))
+    st = F.transform(cs, lambda a: refs.citation_status(a, F.col("shown"), F.col("labels"), F.col("context")))
     x = x.withColumn("st", st)
     n = lambda s: F.size(F.filter("st", lambda v: v == s)).alias(f"n_{s}")
-    unit = F.lit(None).cast("double")
     return x.select(
         F.col("model").alias("tag"), "response_id", F.col("query_id").isNull().alias("is_unanswerable"), refs.declines(F.col("answer")).alias("declined"), F.size("st").alias("n_citations"),
         n("retrieved"), n("wrong_label"), n("cross_reference"), n("unsupported"), verify.completeness(F.col("answer")).alias("citation_completeness"), refs.bad_framing(F.col("answer")).alias("bad_framing"),
-        F.length("context").alias("context_chars"), F.col("cost_usd"), F.col("latency_ms"), *[unit.alias(m) for m in metrics.METRICS],
+        F.length("context").alias("context_chars"), F.col("cost_usd"), F.col("latency_ms"), *metrics.METRICS,
     )
 
 
+def _runs(spark, d):
+    """A run per model; answers of an unknown model are in none."""
+    return metrics.summary(_records(spark, d).where("tag is not null"))
+
+
 def run_summary(spark, d):
-    s = metrics.summary(_records(spark, d))
-    return s.select("tag", "n_questions", "n_answerable", "n_unanswerable", "unanswerable_declined", "answerable_declined", "citations_grounded", "citations_wrong_label", "citations_cross_reference", "citations_unsupported", "n_citations", "citation_completeness", "bad_framing_rate")
+    return _runs(spark, d).select("tag", "n_questions", "n_answerable", "n_unanswerable", "unanswerable_declined", "answerable_declined", "citations_grounded", "citations_wrong_label", "citations_cross_reference", "citations_unsupported", "n_citations", "citation_completeness", "bad_framing_rate")
 
 
 def compare_runs_pivot(spark, d):
-    s = metrics.summary(_records(spark, d))
     tags = [r[0] for r in table(spark, d, "llm_responses").where("model is not null").select("model").distinct().orderBy("model").collect()]
-    return metrics.compare(s.drop("avg_context_chars", "avg_cost_usd"), tags)
+    return metrics.compare(_runs(spark, d).drop("avg_context_chars", "avg_cost_usd"), tags)
 
 
 def run_join_ab(spark, d):
