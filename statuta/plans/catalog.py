@@ -317,8 +317,9 @@ def failure_counts(spark, d):
 
 
 def prompt_context(spark, d):
-    c, q = corpus(spark, d), questions(spark, d)
-    r = table(spark, d, "llm_responses").where((F.col("response_id") % EVERY == 0) & F.col("query").isNotNull())
+    """The prompt of every response with a query; one that was given no passages asked no model and has none."""
+    c = corpus(spark, d)
+    r = table(spark, d, "llm_responses").where(F.col("query").isNotNull())
     hits = r.select("response_id", "query", F.posexplode(F.array_distinct("retrieved_chunk_ids")).alias("rank", "chunk_id")).join(c.select("chunk_id", "article_number", "title", "text"), "chunk_id")
     return payloads.prompts(hits, "response_id").select("response_id", F.length("prompt").alias("chars"), F.sha2("prompt", 256).alias("hash"))
 
