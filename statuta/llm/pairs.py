@@ -6,7 +6,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -24,6 +24,8 @@ BITS = 18
 LANGUAGE_BITS = 15
 #: Words whose scores a worker remembers.
 REMEMBERED = 200_000
+#: Words from which on an answer's n-grams weigh less, so that together they weigh as those of so many words.
+FULL_WEIGHT = 40
 #: Frequent function words by which texts of each language are first told apart.
 FUNCTION_WORDS = {
     "en": "the of to and in is for must shall may not when on a an by with as be has have or are this that under before during at from which",
@@ -90,6 +92,29 @@ REFUSALS = {
         ("", "", " Si rivolga a un consulente qualificato.", " Riformuli la domanda."),
     ),
 }
+#: Sentences around the long refusals that are made up for training, before and after what they decline.
+AROUND = {
+    "en": (
+        ("Thank you for your detailed question about the rules that apply here.", "This is a topic that many operators and authorities ask about.", "I understand that a clear reply would be useful to you and your colleagues.", "You ask how the act treats the case that you describe."),
+        ("A lawyer who knows your situation can look at the facts and advise you.", "The competent authority of your country also publishes guidance that may be of use.", "It may help to read the act itself together with its annexes and recitals.", "If you have other questions about the documents, feel free to ask them at any time.", "Please keep in mind that rules may change and that deadlines may apply."),
+    ),
+    "de": (
+        ("Vielen Dank für Ihre ausführliche Frage zu den hier geltenden Regeln.", "Dieses Thema beschäftigt viele Betreiber und Behörden.", "Ich verstehe, dass eine klare Auskunft für Sie nützlich wäre.", "Sie fragen, wie der Rechtsakt den beschriebenen Fall behandelt."),
+        ("Eine Anwältin, die Ihre Lage kennt, kann den Sachverhalt prüfen und Sie beraten.", "Auch die zuständige Behörde Ihres Landes veröffentlicht Leitlinien, die nützlich sein können.", "Es kann helfen, den Rechtsakt selbst mit seinen Anhängen zu lesen.", "Wenn Sie weitere Fragen zu den Dokumenten haben, stellen Sie sie gern jederzeit."),
+    ),
+    "fr": (
+        ("Merci pour votre question détaillée sur les règles applicables.", "Ce sujet intéresse de nombreux opérateurs et autorités.", "Je comprends qu’une réponse claire vous serait utile.", "Vous demandez comment l’acte traite le cas que vous décrivez."),
+        ("Un avocat qui connaît votre situation peut examiner les faits et vous conseiller.", "L’autorité compétente de votre pays publie aussi des orientations qui peuvent être utiles.", "Il peut être utile de lire l’acte lui-même avec ses annexes.", "Si vous avez d’autres questions sur les documents, posez-les à tout moment."),
+    ),
+    "es": (
+        ("Gracias por su pregunta detallada sobre las normas aplicables.", "Este tema interesa a muchos operadores y autoridades.", "Entiendo que una respuesta clara le sería útil.", "Usted pregunta cómo trata el acto el caso que describe."),
+        ("Un abogado que conozca su situación puede examinar los hechos y asesorarle.", "La autoridad competente de su país también publica orientaciones que pueden ser útiles.", "Puede ser útil leer el propio acto junto con sus anexos.", "Si tiene otras preguntas sobre los documentos, puede hacerlas en cualquier momento."),
+    ),
+    "it": (
+        ("Grazie per la sua domanda dettagliata sulle norme applicabili.", "Questo tema interessa molti operatori e autorità.", "Capisco che una risposta chiara le sarebbe utile.", "Lei chiede come l’atto tratta il caso che descrive."),
+        ("Un avvocato che conosce la sua situazione può esaminare i fatti e consigliarla.", "Anche l’autorità competente del suo paese pubblica orientamenti che possono essere utili.", "Può essere utile leggere l’atto stesso con i suoi allegati.", "Se ha altre domande sui documenti, può farle in qualsiasi momento."),
+    ),
+}
 #: What an answer may add about the limits of its sources without being a refusal; {0} is a phrase of the corpus.
 LIMITS = ("The passages do not contain sufficient information on {0}.", "The sources say nothing about {0}.", "There is not enough information on {0} in the passages.", "Inspectors cannot help themselves to {0}; an authority may refuse or decline an application.")
 
@@ -167,15 +192,17 @@ def _bucket(x: float) -> int:
     return int(math.log2(x + 1) * 2) if x > 0 else 0
 
 
-def features(q: str | None, a: str | None, language: Language) -> list[int]:
-    """Hashed features of a pair: n-grams of the answer, its ending, what it takes from the question, both languages."""
+def features(q: str | None, a: str | None, language: Language) -> np.ndarray:
+    """Hashed features of a pair: n-grams of the whole answer, its ending, what it takes from the question, both languages.
+
+    Numbers from 1 << BITS on are n-grams, and a negative one tells the answer's words, by which those are weighed.
+    """
     q, a = q or "", INVISIBLE.sub("", a or "")
     s = a.strip()
     w = WORDS.findall(s.lower())
     n = len(w)
     f = ["1", f"n{_bucket(n)}", f"c{min(len(s), 8)}"]
-    if n <= 40:
-        f += [f"u{x}" for x in w if not x.isdigit()] + [f"b{x} {y}" for x, y in zip(w, w[1:])] + [f"t{x} {y} {z}" for x, y, z in zip(w, w[1:], w[2:])]
+    grams = [f"u{x}" for x in w if not x.isdigit()] + [f"b{x} {y}" for x, y in zip(w, w[1:])] + [f"t{x} {y} {z}" for x, y, z in zip(w, w[1:], w[2:])]
     f += [f"f{x} {y}" for x, y in zip(w[:7], w[1:8])]
     # the ending
     last = s.split("\n")[-1]
@@ -202,7 +229,15 @@ def features(q: str | None, a: str | None, language: Language) -> list[int]:
     against = float(sa.max() - sa[language.names.index(lq)])
     same = lq == la
     f += [f"l{same}", f"l{same}{min(_bucket(against), 14)}{oq > 8}", f"l{same}{against > 12}{oq > 8}", f"l{same}{n > 3}{against > 12}"]
-    return [_h(x, BITS) for x in f]
+    return np.array([-n - 1, *{_h(x, BITS) for x in f}, *{_h(x, BITS) + (1 << BITS) for x in grams}], np.int32)
+
+
+def weighed(f: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(places among the weights, values) of a pair's features: n-grams of a long answer share the weight of FULL_WEIGHT words."""
+    f = np.asarray(f)
+    n = max(1, -int(f.min()) - 1)
+    f = f[f >= 0]
+    return f & ((1 << BITS) - 1), np.where(f >> BITS, math.sqrt(min(1.0, FULL_WEIGHT / n)), 1.0).astype(np.float32)
 
 
 class Classifier:
@@ -213,10 +248,11 @@ class Classifier:
         self.cut = np.zeros(len(DEFECTS))
         self.language = Language()
 
-    def score(self, f: list[int]) -> np.ndarray:
-        return self.w[:, f].sum(axis=1)
+    def score(self, f: Iterable[int]) -> np.ndarray:
+        at, x = weighed(f)
+        return self.w[:, at] @ x
 
-    def train(self, rows: list[tuple[list[int], int]], epochs: int = EPOCHS, seed: int = 11) -> Classifier:
+    def train(self, rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, seed: int = 11) -> Classifier:
         """AdaGrad over examples (features, index of the defect or -1); a quarter is held out to set the thresholds."""
         rnd = random.Random(seed)
         rows = list(rows)
@@ -226,14 +262,16 @@ class Classifier:
         for _ in range(epochs):
             rnd.shuffle(rows)
             for f, y in rows:
-                f = list(set(f))
-                z = np.clip(self.w[:, f].sum(axis=1), -30, 30)
+                f, x = weighed(f)
+                z = np.clip(self.w[:, f] @ x, -30, 30)
                 g = 1 / (1 + np.exp(-z))
                 if y >= 0:
                     g[y] -= 1
-                g2[:, f] += (g * g)[:, None]
-                self.w[:, f] -= (0.3 * g)[:, None] / np.sqrt(g2[:, f])
-        scores = np.array([self.score(list(set(f))) for f, _ in held]).reshape(len(held), len(DEFECTS))
+                g = g[:, None] * x
+                s = g2[:, f] + g * g
+                g2[:, f] = s
+                self.w[:, f] -= 0.3 * g / np.sqrt(s)
+        scores = np.array([self.score(f) for f, _ in held]).reshape(len(held), len(DEFECTS))
         ys = np.array([y for _, y in held])
         for k in range(len(DEFECTS)):
             # between the scores of both kinds, where errors are fewest
@@ -247,8 +285,7 @@ class Classifier:
         return self
 
     def defect(self, q: str | None, a: str | None) -> str | None:
-        f = list(set(features(q, a, self.language)))
-        over = self.score(f) - self.cut
+        over = self.score(features(q, a, self.language)) - self.cut
         k = int(over.argmax())
         return DEFECTS[k] if over[k] > 0 else None
 
@@ -269,7 +306,7 @@ def _reformat(q: str, rnd: random.Random) -> str:
     return x
 
 
-def examples(pairs: list[tuple[str | None, str | None]], language: Language, seed: int = 13) -> list[tuple[list[int], int]]:
+def examples(pairs: list[tuple[str | None, str | None]], language: Language, seed: int = 13) -> list[tuple[np.ndarray, int]]:
     """Training examples from logged pairs: sound answers, and the same made empty, cut, copied, swapped or refused.
 
     A logged answer is taken as sound if it ends its sentence or a list, doesn't lie within its question and is in the
@@ -298,7 +335,7 @@ def examples(pairs: list[tuple[str | None, str | None]], language: Language, see
     parts = {plain(x)[:40] for _, whole, _ in REFUSALS.values() for x in whole}
     refused = lambda a: len(a) < 220 and any(p in plain(a) for p in parts)
     good = [g for g in good if not refused(g[1])]
-    out: list[tuple[list[int], int]] = []
+    out: list[tuple[np.ndarray, int]] = []
     add = lambda q, a, y: out.append((features(q, a, language), DEFECTS.index(y) if y else -1))
     langs = [k for k in by_language if len(by_language[k]) > 5]
     for i, (q, a, lang) in enumerate(good):
@@ -321,6 +358,8 @@ def examples(pairs: list[tuple[str | None, str | None]], language: Language, see
                 x = rnd.choice(ANNOUNCED.get(lang, ANNOUNCED["en"]) + ANNOUNCED["en"]) + x
             elif kind < 0.5:
                 x = x + rnd.choice((" ", "\n")) + _reformat(q, rnd)
+            elif kind < 0.6:
+                x = rnd.choice(ANNOUNCED.get(lang, ANNOUNCED["en"])) + " ".join(_reformat(q, rnd) for _ in range(rnd.randrange(2, 5)))
             add(q, x, "copied")
             # an announced question followed by an answer is sound
             if rnd.random() < 0.5:
@@ -333,10 +372,21 @@ def examples(pairs: list[tuple[str | None, str | None]], language: Language, see
         elif r in (6, 7):
             use = lang if lang in REFUSALS and rnd.random() < 0.85 else "en"
             head, whole, foot = REFUSALS[use]
-            h, x = rnd.choice(head), rnd.choice(whole)
-            x = h + (x if h and h.rstrip()[-1:] not in (".", "") else x[0].upper() + x[1:]) + rnd.choice(foot)
-            # a refusal in another language is a refusal
-            add(q, x, "refusal")
+            for _ in range(3):  # as many short ones as are long or have sound counterparts
+                h, x = rnd.choice(head), rnd.choice(whole)
+                x = h + (x if h and h.rstrip()[-1:] not in (".", "") else x[0].upper() + x[1:]) + rnd.choice(foot)
+                # a refusal in another language is a refusal
+                add(q, x, "refusal")
+            # the same with much said around it, and the same said around an answer
+            before, after = AROUND[use]
+            p, s = rnd.sample(before, rnd.randrange(0, 4)), rnd.sample(after, rnd.randrange(0, 5))
+            restated = rnd.choice(ANNOUNCED[use]) + q
+            add(q, " ".join([*p, x, *s]), "refusal")
+            # what the question is about may be told at length before it is declined
+            add(q, " ".join([*p, restated, *[other for other, _, k in rnd.sample(good, min(len(good), rnd.randrange(3))) if k == lang], x, *s]), "refusal")
+            if use == lang:
+                add(q, " ".join([*p, a, *s]), None)
+                add(q, " ".join([*p, restated, a, *s]), None)
             if phrases and rnd.random() < 0.7:
                 limit = rnd.choice(LIMITS).format(rnd.choice(phrases))
                 add(q, rnd.choice((f"{a} {limit}", f"{limit} {a}")), None)
