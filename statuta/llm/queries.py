@@ -21,7 +21,7 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.targets_report(sampling.pool(table(spark, d, "golden_dataset")), table(spark, d, "sample_targets")).drop("key")
+    return sampling.seats_report(sampling.pool(table(spark, d, "golden_dataset")), table(spark, d, "sample_targets")).drop("key")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
