@@ -51,6 +51,25 @@ def covered_share(covered: Column, n: Column) -> Column:
     return F.size(F.filter(F.slice(covered, F.lit(1), n), lambda x: x)) / n
 
 
+def key_form(c: Column) -> Column:
+    """A key's letters and digits in lower case."""
+    return F.lower(F.regexp_replace(c, r"[^\p{L}\p{Nd}]+", ""))
+
+
+def fields(records: DataFrame, names: tuple[str, ...], key: str = "record_id", payload: str = "payload") -> DataFrame:
+    """(key, fields): the payload's fields as a struct, whatever the spelling of its keys; null where it isn't JSON.
+
+    Where two keys come down to one field, the one last in the object's text counts.
+    """
+    entries = F.transform(F.map_entries(F.from_json(payload, "map<string,string>")), lambda e: F.struct(key_form(e["key"]).alias("k"), e["value"].alias("v")))
+
+    def pick(f: str) -> Column:
+        found = F.filter(F.col("__e"), lambda e: e["k"] == key_form(F.lit(f)))
+        return F.try_element_at(F.transform(found, lambda e: e["v"]), F.lit(-1)).alias(f)
+
+    return records.select(key, entries.alias("__e")).select(key, F.struct(*[pick(f) for f in names]).alias("fields"))
+
+
 def objects(raw: Column, schema: str) -> Column:
     """ARRAY of objects that a model wrote: parsed as it is, with typographic quotes mended, or object by object."""
     many = f"array<{schema}>"

@@ -201,7 +201,8 @@ def dedup_normalized_text(spark, d):
 
 
 def antijoin_new(spark, d):
-    c = table(spark, d, "candidate_records").select("record_id", F.get_json_object("payload", "$.query").alias("query")).where("query is not null")
+    """Candidates whose query, under whatever spelling of its key, isn't in the golden dataset."""
+    c = payloads.fields(table(spark, d, "candidate_records"), ("query",)).select("record_id", "fields.query").where("query is not null")
     return golden.only_new(c, table(spark, d, "golden_dataset").where("query is not null"))
 
 
@@ -263,17 +264,21 @@ def structure_summary(spark, d):
     return parse.structure(corpus(spark, d).where(F.col("parent_document").isNotNull()).select("parent_document", "article_number"))
 
 
-def _strata(spark, d):
-    g = table(spark, d, "golden_dataset").where("query_type is not null and difficulty is not null")
+def _scored(spark, d):
+    g = table(spark, d, "golden_dataset")
     return g.select("item_id", "query", "query_type", "difficulty", "source_article", "expected_answer_elements", "gold_provisions", "notes", "is_unanswerable").withColumn("score", golden.score(F.col("gold_provisions"), F.col("expected_answer_elements"), F.col("notes"), F.col("query")))
 
 
+def _strata(spark, d):
+    return _scored(spark, d).where("query_type is not null and difficulty is not null")
+
+
 def candidate_score(spark, d):
-    return _strata(spark, d).select("item_id", "score")
+    return _scored(spark, d).select("item_id", "score")
 
 
 def stratified_split(spark, d):
-    return golden.stratified_split(_strata(spark, d), ["query_type", "difficulty"], "item_id").select("item_id", "query_type", "difficulty", "split")
+    return golden.stratified_split(_scored(spark, d), ["query_type", "difficulty"], "item_id").select("item_id", "query_type", "difficulty", "split")
 
 
 def priority_pick(spark, d):
