@@ -66,8 +66,7 @@ def _documents(spark, d):
 
 def _hybrid(spark, d, k):
     docs = _documents(spark, d)
-    first = F.array_join(F.slice(text.tokenise(F.col("text")), 1, 8), " ")
-    q = docs.where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), first.alias("query"), F.col("embedding").alias("vector"))
+    q = docs.where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("vector"))
     wide = max(3 * k, 20)
     return q, docs, fuse.rrf(dense.search(q, docs, wide, key="chunk_id"), bm25.search(q, docs, wide, cfg=CFG), k)
 
