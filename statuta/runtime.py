@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,14 +40,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the shared folder of spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, spark.checkpoint.dir; only a session on one machine may make its own."""
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if path is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="statuta-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="statuta-"))
+        sc.setCheckpointDir(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """As cut, as a table: for many rows of which later steps read some columns. Removed when the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/statuta-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def tasks(spark: SparkSession, at_least: int = 2) -> int:
     """Partitions for work that is heavy per row and must not stay in the few partitions of a small file."""
     return max(at_least, 2 * spark.sparkContext.defaultParallelism)
@@ -74,14 +99,16 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return rows.join(hot, keys).unionByName(rows.join(hot_keys, keys, "left_anti").join(cold, keys))
 
 
-def numbered(df: DataFrame, part: list[str], order: Column, out: str, buckets: int = 256) -> DataFrame:
+def numbered(df: DataFrame, part: list[str], order: Column, out: str, buckets: int | None = None) -> DataFrame:
     """1-based row_number within `part` by the DOUBLE in [0, 1) `order`, without gathering a group in one task.
 
-    Rows are numbered inside narrow ranges of the order, and the counts of the earlier ranges are added. `order` must
+    Rows are numbered inside narrow ranges of the order, so many that one holds about BLOCK_ROWS rows at most, and the
+    counts of the earlier ranges are added. `order` must
     be spread evenly, as a hash is; its ties are broken by all columns of df, so repeated runs agree.
     """
     from pyspark.sql import Window as W
 
+    buckets = buckets or max(1, -(-df.count() // BLOCK_ROWS))
     b = df.withColumn("__o", order).withColumn("__b", F.floor(F.col("__o") * buckets).cast("int"))
     counts = b.groupBy(*part, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.withColumn(
