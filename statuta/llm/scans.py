@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from statuta.runtime import cut
+from statuta.runtime import cut, join_groups, kept
 
 #: Pages of a file that one window task orders; the blocks of a file are linked by their edges.
 PAGE_BLOCK = 256
-#: Lines that a running header may have, and lines from a page's top among which it is looked for.
-HEADER_LINES = 2
+#: Lines from a page's top among which running headers are looked for, as many as there are.
 EDGE_LINES = 6
 #: Forms that are sent to all tasks at most; more are joined by a shuffle.
 BROADCAST_FORMS = 200_000
@@ -25,7 +27,12 @@ HYPHENS = "-‐­¬"
 RATIO, RATIO_IN_CONTEXT = 50, 4
 NUMBER = "[0-9lIO|oSB]+"
 NUMBER_LINE = rf"(?i)^(?:[-—–\[]|p\.|page|seite|s\.)?\s*({NUMBER})\s*(?:(?:/|of|von)\s*{NUMBER}\s*)?[-—–\]]?$"
-EDGE = r"[.,;:()“”„\"'’‘—–!?\[\]…«»·]"
+EDGE_CHARS = ".,;:()“”„\"'’‘—–!?[]…«»·"
+EDGE = f"[{re.escape(EDGE_CHARS)}]"
+#: All white space of Unicode.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters that no skeleton changes; a line's own in their order tell most lines apart at little cost.
+STEADY = "gjkpqstyz"
 
 
 def skeleton(c: Column) -> Column:
@@ -41,11 +48,11 @@ def skeleton(c: Column) -> Column:
 
 def bare(c: Column) -> Column:
     """A word without the punctuation around it."""
-    return F.regexp_replace(c, rf"^{EDGE}+|{EDGE}+$", "")
+    return F.btrim(c, F.lit(EDGE_CHARS))
 
 
 def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def pages(raw: DataFrame) -> DataFrame:
@@ -60,6 +67,11 @@ def pages(raw: DataFrame) -> DataFrame:
     return x.where(F.size("ls") > 0)
 
 
+def _tokens(line: Column) -> Column:
+    """A trimmed line cut at white space; the pattern for all of Unicode is slower and seldom needed."""
+    return F.when(F.octet_length(line) == F.length(line), F.split(line, r"\s+")).otherwise(F.split(line, r"(?U)\s+"))
+
+
 def _masked(c: Column) -> Column:
     return F.regexp_replace(c, r"\b[0-9lIOo]*[0-9][0-9lIOo]*\b", "")
 
@@ -73,103 +85,136 @@ def _kind(line: Column) -> Column:
     return F.xxhash64(skeleton(_letters(F.regexp_replace(F.lower(_masked(line)), r"\b[ivxlc1]+\b", ""))))
 
 
+PAGE = ["source_file", "page_number"]
+LINE = [*PAGE, "line_no"]
+
+
 def marks(pg: DataFrame) -> DataFrame:
     """(source_file, page_number, line_no, defect) of the page numbers and running headers.
 
     A line of a number only, near the page's edge, is a page number if it differs from page_number by what most such
     lines of its file do. The first other line of a page is a header if, with its digits masked, it comes at the top of
-    other pages of the file, or of many files, rather than inside pages. The title that opens page 1 is no header. Only
-    lines near the edges are compared; all other lines are but counted, by hash.
+    other pages of the file, or of many files, rather than inside pages; below a header the next line is looked at
+    alike, as far as there are headers within EDGE_LINES lines. The title that opens page 1 is no header.
     """
-    page = ["source_file", "page_number"]
     n = F.size("ls")
-    near = F.filter(F.transform("ls", lambda x, i: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), i.alias("k"), (n - i - 1).alias("r"))), lambda x: (x["k"] < EDGE_LINES) | (x["r"] <= 2))
-    x = pg.select(*page, "parent_document", F.explode(near).alias("x")).select(*page, "parent_document", "x.*")
-    digits = F.translate(F.regexp_extract("line", NUMBER_LINE, 1), "lIO|oSB", "1101058")
-    edge = (F.col("k") <= 2) | (F.col("r") <= 2)
-    x = x.withColumn("off", F.when(edge & (digits != "") & (F.length(digits) < 9), digits.cast("long") - F.col("page_number")))
-    votes = x.where("off is not null").groupBy("source_file", "off").agg(F.count(F.lit(1)).alias("v"))
+    edge = F.filter(F.transform("ls", lambda x, i: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), ((i <= 2) | (n - i <= 3)).alias("near"))), lambda x: x["near"])
+    x = pg.select(*PAGE, F.explode(edge).alias("x")).select(*PAGE, "x.line_no", F.translate(F.regexp_extract("x.line", NUMBER_LINE, 1), "lIO|oSB", "1101058").alias("digits"))
+    x = cut(x.where((F.col("digits") != "") & (F.length("digits") < 9)).withColumn("off", F.col("digits").cast("long") - F.col("page_number")))
+    votes = x.groupBy("source_file", "off").agg(F.count(F.lit(1)).alias("v"))
     mode = votes.groupBy("source_file").agg(F.max(F.struct(F.col("v"), -F.abs(F.col("off")), F.col("off"))).alias("m")).select("source_file", F.col("m.off").alias("off"))
-    numbers = x.where("off is not null").join(mode, ["source_file", "off"]).select(*page, "line_no", F.lit("page_number").alias("defect"))
+    found = cut(x.join(mode, ["source_file", "off"]).select(*LINE, F.lit("page_number").alias("defect")))
+    out = found.groupBy(*PAGE).agg(F.collect_set("line_no").alias("out"))
     act = _letters(skeleton(F.regexp_replace(F.coalesce("parent_document", F.lit("")), "[0-9]+", "")))
-    top = x.where(F.col("k") < EDGE_LINES).select(*page, "line_no", "line", "k", act.alias("act"), _letters(skeleton(_masked(F.col("line")))).alias("mask"), _kind(F.col("line")).alias("kind"))
-    found = cut(numbers)
-    rest = cut(top.join(found.select(*page, "line_no"), [*page, "line_no"], "left_anti"))
-    everywhere = pg.where("page_number > 1").select(F.explode(F.transform("ls", lambda x: _kind(x["line"]))).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("alls"))
-    everywhere = cut(everywhere.join(rest.select("kind").distinct(), "kind", "left_semi"))
-    for _ in range(HEADER_LINES):
-        heads = cut(_heads(rest, everywhere))
-        rest = cut(rest.join(heads, [*page, "line_no"], "left_anti"))
+    top = pg.select(*PAGE, act.alias("act"), F.slice("ls", 1, EDGE_LINES).alias("ms")).join(out, PAGE, "left")
+    rest = cut(top.select(*PAGE, "act", F.filter("ms", lambda m: ~F.coalesce(F.array_contains("out", m["line_no"]), F.lit(False))).alias("ms")))
+    while True:
+        heads = cut(_heads(rest.where(F.size("ms") > 0), pg))
+        if heads.isEmpty():
+            return found
         found = found.unionByName(heads.withColumn("defect", F.lit("running_header")))
-    return found
+        # pages go on below their header
+        rest = cut(rest.join(heads.select(*PAGE), PAGE, "left_semi").withColumn("ms", F.slice("ms", F.lit(2), F.size("ms"))))
+
 
+def _steady(line: Column) -> Column:
+    return F.regexp_replace(F.lower(line), f"[^{STEADY}]+", "")
 
-def _heads(rest: DataFrame, everywhere: DataFrame) -> DataFrame:
-    """(source_file, page_number, line_no) of the pages' first remaining lines that are headers."""
-    page = ["source_file", "page_number"]
-    first = rest.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("k", "line_no", "line", "mask", "kind", "act"))).alias("ms"))
-    first = first.select(*page, F.col("ms")[0].alias("a"), F.get("ms", F.lit(1))["mask"].alias("second")).select(*page, "a.*", "second").where("mask <> ''")
+
+def _heads(rest: DataFrame, pg: DataFrame) -> DataFrame:
+    """(source_file, page_number, line_no) of the pages' first lines that are headers."""
+    mask = lambda c: _letters(skeleton(_masked(c)))
+    first = rest.select(*PAGE, "act", F.col("ms")[0]["line_no"].alias("line_no"), F.col("ms")[0]["line"].alias("line"), F.get("ms", F.lit(1))["line"].alias("second"))
+    first = cut(first.withColumns({"mask": mask(F.col("line")), "kind": _kind(F.col("line"))}).where("mask <> ''"))
     own = first.groupBy("source_file", "mask").agg(F.count(F.lit(1)).alias("own_pages"))
     kinds = first.groupBy("kind").agg(F.count(F.lit(1)).alias("tops"), F.sum((F.col("page_number") == 1).cast("int")).alias("opening"))
-    files = first.select("kind", "source_file").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("files"))
-    kinds = kinds.join(files, "kind").join(everywhere, "kind", "left").withColumn("alls", F.coalesce("alls", F.lit(0)) + F.col("opening"))
-    top = first.join(own, ["source_file", "mask"]).join(kinds, "kind")
+    kinds = kinds.join(first.select("kind", "source_file").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("files")), "kind")
+    top = join_groups(first.join(own, ["source_file", "mask"]), cut(kinds), ["kind"], "tops", first.count())
+    top = cut(top.where("own_pages >= 2 or files >= 3"))
+    # lines of these kinds anywhere: few have the same steady letters, and only those are brought to their kind
+    steady = top.select(_steady(F.col("line")).alias("steady")).distinct()
+    anywhere = pg.where("page_number > 1").select(F.explode("ls.line").alias("line")).withColumn("steady", _steady(F.col("line"))).join(_small(steady), "steady", "left_semi")
+    anywhere = anywhere.select(_kind(F.col("line")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("others"))
+    tops = cut(top.select("kind", "tops").distinct().join(anywhere, "kind", "left").withColumn("others", F.coalesce("others", F.lit(0))))
+    top = join_groups(top.drop("tops"), tops, ["kind"], "tops", top.count()).withColumn("alls", F.col("others") + F.col("opening"))
     likely = ((F.col("own_pages") >= 2) & (F.col("tops") * 2 >= F.col("alls"))) | ((F.col("files") >= 3) & (F.col("tops") * 5 >= F.col("alls") * 4))
     # on page 1, a line that begins with the act's name is the title unless the next line begins with it too
     named = (F.col("act") != "") & F.col("mask").startswith(F.col("act")) & ~F.col("line").contains("|")
-    title = (F.col("page_number") == 1) & named & ~F.coalesce(F.col("second").startswith(F.col("act")), F.lit(False))
-    return top.where(likely & ~title).select(*page, "line_no")
+    title = (F.col("page_number") == 1) & named & ~F.coalesce(mask(F.col("second")).startswith(F.col("act")), F.lit(False))
+    return top.where(likely & ~title).select(*LINE)
 
 
 def body(pg: DataFrame, mk: DataFrame) -> DataFrame:
-    """The body's lines with the lines before and after them, on the page or a neighbouring one.
-
-    `starts` tells a line behind a blank one, `page_start` the first of its page. `head` and `tail` are the parts of a
-    word that the line's end and the next line's beginning may share; `skip` tells a line that begins with such a rest.
-    Lines of a page stay in one row; pages are ordered by their first and last lines alone, within blocks of PAGE_BLOCK
-    pages, and the blocks by theirs.
+    """The body's lines, each with its whole words `ws` and with what it shares with the lines before and after it.
+
+    `head` and `tail` are the parts of a word that the line's end and the next line's beginning may share, `last` and
+    `after` the whole tokens they stand in, `soft` tells the hyphen that may belong to the word. `skip` tells a line
+    whose first token ends such a word. `prev` is the token before the first of ws, null where a paragraph begins;
+    `starts` tells a line behind a blank one, `breaks` one at a page's beginning behind the end of a sentence. Lines are
+    cut into words here, once; pages are ordered by their first and last lines alone, within blocks of PAGE_BLOCK pages,
+    and the blocks by theirs.
     """
-    page = ["source_file", "page_number"]
-    out = mk.groupBy(*page).agg(F.collect_set("line_no").alias("out"))
-    b = pg.join(out, page, "left").withColumn("out", F.coalesce("out", F.array().cast("array<int>")))
-    b = b.select(*page, F.filter("ls", lambda x: ~F.array_contains("out", x["line_no"])).alias("ls")).where(F.size("ls") > 0)
-    b = cut(b)
-    ends = b.select(*page, F.floor(F.col("page_number") / PAGE_BLOCK).alias("block"), F.col("ls")[0]["line"].alias("first"), F.element_at("ls", -1)["line"].alias("last"))
+    out = mk.groupBy(*PAGE).agg(F.collect_set("line_no").alias("out"))
+    rid = lambda c: F.filter(c, lambda x: ~F.coalesce(F.array_contains("out", x["line_no"]), F.lit(False)))
+    # marks stand in the first EDGE_LINES and the last 3 lines, so one of these is left, or none at all
+    few = EDGE_LINES + 4
+    ends = pg.select(*PAGE, F.slice("ls", 1, few).alias("a"), F.slice("ls", F.greatest(F.size("ls") - few + 1, F.lit(1)), F.lit(few)).alias("b")).join(out, PAGE, "left")
+    ends = ends.select(*PAGE, "out", F.floor(F.col("page_number") / PAGE_BLOCK).alias("block"), F.get(rid("a"), F.lit(0))["line"].alias("first"), F.try_element_at(rid("b"), F.lit(-1))["line"].alias("last")).where("first is not null")
+    ends = cut(ends)
     blocks = ends.groupBy("source_file", "block").agg(F.min_by("first", "page_number").alias("bf"), F.max_by("last", "page_number").alias("bl"))
     wb = W.partitionBy("source_file").orderBy("block")
     blocks = blocks.select("source_file", "block", F.lead("bf").over(wb).alias("bf"), F.lag("bl").over(wb).alias("bl"))
     w = W.partitionBy("source_file", "block").orderBy("page_number")
-    ends = ends.select(*page, "block", F.lead("first").over(w).alias("pf"), F.lag("last").over(w).alias("pl")).join(blocks, ["source_file", "block"])
-    ends = ends.select(*page, F.coalesce("pf", "bf").alias("page_next"), F.coalesce("pl", "bl").alias("page_before"))
-    x = b.join(ends, page).select(*page, "page_next", "page_before", F.col("ls").alias("all"), F.posexplode("ls").alias("i", "x"))
-    after, before = F.get("all", F.col("i") + 1), F.when(F.col("i") > 0, F.get("all", F.col("i") - 1))
-    following = F.when(F.col("i") + 1 < F.size("all"), after["line"]).otherwise(F.col("page_next"))
-    x = x.select(*page, "x.line_no", "x.line", following.alias("next"), F.coalesce(before["line"], F.when(F.col("i") == 0, F.col("page_before"))).alias("before"), (F.col("i") == 0).alias("page_start"), F.coalesce(F.col("x.line_no") - before["line_no"] > 1, F.lit(False)).alias("starts"))
-    broken = rf"[\p{{L}}\p{{Nd}}†@¨][{HYPHENS}]+$"
+    ends = ends.select(*PAGE, "out", "block", F.lead("first").over(w).alias("pf"), F.lag("last").over(w).alias("pl")).join(blocks, ["source_file", "block"])
+    ends = ends.select(*PAGE, "out", F.coalesce("pf", "bf").alias("page_next"), F.coalesce("pl", "bl").alias("page_before"))
+    x = pg.drop("parent_document").join(ends, PAGE).withColumn("ls", rid("ls"))
+    x = x.select(*PAGE, "page_next", "page_before", F.col("ls").alias("all"), F.posexplode("ls").alias("i", "x"))
+    behind, before = F.get("all", F.col("i") + 1)["line"], F.when(F.col("i") > 0, F.get("all", F.col("i") - 1))
+    x = x.select(
+        *PAGE, "x.line_no", "x.line", F.when(F.col("i") + 1 < F.size("all"), behind).otherwise(F.col("page_next")).alias("next"), F.coalesce(before["line"], F.when(F.col("i") == 0, F.col("page_before"))).alias("before"),
+        (F.col("i") == 0).alias("page_start"), F.coalesce(F.col("x.line_no") - before["line_no"] > 1, F.lit(False)).alias("starts"),
+    )
+    # a last glyph is looked at before any pattern is tried
+    hyphened = lambda c: F.substring(c, -1, 1).isin(*HYPHENS)
+    glyphs = r"[\p{L}\p{Nd}†@¨]"
     goes_on = r"^[\p{L}†@0-9ﬁﬂ]"
-    head = F.regexp_extract("line", rf"(\S*[\p{{L}}\p{{Nd}}†@¨])[{HYPHENS}]+$", 1)
-    fits = (head != "") & F.coalesce(F.col("next").rlike(goes_on), F.lit(False))
-    x = x.withColumn("head", F.when(fits, F.regexp_replace(head, rf"^{EDGE}+", ""))).withColumn("tail", F.when(fits, bare(F.regexp_extract("next", r"^(\S+)", 1))))
-    return x.withColumn("skip", F.coalesce(F.col("before").rlike(broken), F.lit(False)) & F.col("line").rlike(goes_on))
+    head = F.when(hyphened(F.col("line")), F.regexp_extract("line", rf"(\S*{glyphs})[{HYPHENS}]+$", 1)).otherwise("")
+    x = x.withColumn("head", head)
+    x = x.withColumn("head", F.when((F.col("head") != "") & F.coalesce(F.col("next").rlike(goes_on), F.lit(False)), F.ltrim(F.col("head"), F.lit(EDGE_CHARS))))
+    skip = F.when(F.coalesce(hyphened(F.col("before")), F.lit(False)), F.col("before").rlike(rf"{glyphs}[{HYPHENS}]+$") & F.col("line").rlike(goes_on)).otherwise(F.lit(False))
+    x = x.withColumns({"skip": skip, "toks": _tokens(F.col("line"))})
+    cut_off = F.col("head").isNotNull()
+    after = F.when(cut_off, F.regexp_extract("next", r"^(\S+)", 1))
+    lo = F.when(F.col("skip"), 2).otherwise(1)
+    ws = F.slice("toks", lo, F.greatest(F.size("toks") - lo + 1 - cut_off.cast("int"), F.lit(0)))
+    prev = F.when(F.col("skip"), F.col("toks")[0]).otherwise(F.when(~F.col("starts"), F.regexp_extract(F.coalesce("before", F.lit("")), r"^(?:.*\s)?(\S+)$", 1)))
+    breaks = F.col("starts") | (F.col("page_start") & F.coalesce(F.col("before").rlike(r"[.!?:][”“»\"')]*$"), F.lit(True)))
+    # a line that is one token only, ending one word and beginning the next, is neither
+    alone = F.col("skip") & cut_off & (F.size("toks") == 1)
+    x = x.select(
+        *LINE, "head", F.when(cut_off, bare(after)).alias("tail"), F.when(cut_off & ~alone, F.element_at("toks", -1)).alias("last"), after.alias("after"),
+        F.substring("line", -1, 1).isin("-", "‐").alias("soft"), "skip", "starts", breaks.alias("breaks"), prev.alias("prev"), ws.alias("ws"),
+    )
+    return kept(x)
 
 
 ODD = r"[\p{L}][0-9†@|¨]|[0-9†@|¨][\p{L}]|[†@|]|[ﬁﬂﬀ]|\p{Ll}\p{Lu}"
+STOPS = (".", "!", "?", ":", ")")
 
 
-def words(b: DataFrame) -> DataFrame:
-    """The body's whole words: word, the word before it, whether it begins a sentence."""
-    ws = F.filter(F.split("line", r"(?U)\s+"), lambda t: t != "")
-    x = b.select("source_file", "page_number", "line_no", "head", "skip", "before", "starts", F.posexplode(ws).alias("i", "raw"), F.size(ws).alias("n"), ws.alias("ws"))
-    x = x.where(~(F.col("skip") & (F.col("i") == 0)) & ~(F.col("head").isNotNull() & (F.col("i") == F.col("n") - 1)))
-    prev = F.when(F.col("i") > 0, F.get("ws", F.col("i") - 1)).otherwise(F.when(~F.col("starts"), F.regexp_extract(F.coalesce("before", F.lit("")), r"(\S+)$", 1)))
-    begins = F.coalesce(F.regexp_extract(prev, r"([.!?:)])[”“»]?$", 1) != "", F.lit(True)) | F.coalesce(prev == "", F.lit(True))
-    x = x.select("source_file", "page_number", "line_no", bare(F.col("raw")).alias("word"), F.lower(bare(prev)).alias("prev"), begins.alias("begins"))
-    return x.where(F.col("word").rlike(r"[\p{L}†@]"))
+def tokens(b: DataFrame) -> DataFrame:
+    """The body's whole words as they stand: raw, the token before it (null or '' for none), whether it begins a sentence."""
+    x = b.select(*LINE, "prev", "ws", F.posexplode("ws").alias("i", "raw"))
+    prev = F.when(F.col("i") > 0, F.get("ws", F.col("i") - 1)).otherwise(F.col("prev"))
+    x = x.select(*LINE, "raw", prev.alias("prev"))
+    ends = lambda *of: reduce(lambda p, q: p | q, [F.endswith("prev", F.lit(e)) for e in of])
+    stop = ends(*STOPS) | (ends("”", "“", "»") & ends(*[f"{e}{q}" for e in STOPS for q in "”“»"]))
+    return x.withColumn("begins", F.col("prev").isNull() | (F.col("prev") == "") | stop)
 
 
 def cased(form: Column, first: Column, begins: Column, raw: Column, capital: Column) -> Column:
     """A form in the case its place asks for; `first` is the raw word's first glyph."""
-    up = F.concat(F.upper(F.substring(form, 1, 1)), F.substring(form, 2, 10_000))
+    up = F.concat(F.upper(F.substring(form, 1, 1)), F.substring(form, F.lit(2), F.length(form)))
     same = F.lower(first) == F.substring(form, 1, 1)
     letters = F.regexp_replace(raw, r"[^\p{L}]", "")
     shout = (F.length(letters) >= 2) & (letters == F.upper(letters)) & (F.length(form) > 2)
@@ -182,32 +227,54 @@ def cased(form: Column, first: Column, begins: Column, raw: Column, capital: Col
     )
 
 
-def vocabulary(ws: DataFrame) -> DataFrame:
+def vocabulary(raws: DataFrame) -> DataFrame:
     """(skel, form, n, capital) of every form of the corpus, in lower case; odd ones hold glyphs that no word has."""
     odd = F.col("word").rlike(ODD)
-    inner = (~F.col("begins")).cast("int")
     cap = F.col("word").rlike(r"^\p{Lu}\p{Ll}").cast("int")
-    v = ws.groupBy(F.lower("word").alias("form")).agg(F.count(F.lit(1)).alias("n"), F.max(odd).alias("odd"), F.sum(inner * cap).alias("c"), F.sum(inner).alias("i"))
+    v = raws.groupBy("form").agg(F.sum("n").alias("n"), F.max(odd).alias("odd"), F.sum(F.col("inner") * cap).alias("c"), F.sum("inner").alias("i"))
     return v.select(skeleton(F.col("form")).alias("skel"), "form", "n", "odd", (F.col("c") * 2 > F.col("i")).alias("capital"))
 
 
 def repairs(b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(misread words with their right form, best form of each skeleton)."""
-    ws = words(b).withColumn("form", F.lower("word"))
-    v = cut(vocabulary(ws))
+    """(misread words with their right form, best form of each skeleton).
+
+    Tokens are counted as they stand, and all patterns are tried on the different ones only; then the places of those in
+    doubt are looked up.
+    """
+    ts = tokens(b)
+    counts = ts.groupBy("raw", "begins").agg(F.count(F.lit(1)).alias("n"))
+    raws = counts.groupBy("raw").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("begins"), 0).otherwise(F.col("n"))).alias("inner"))
+    raws = cut(raws.withColumn("word", bare(F.col("raw"))).where(F.col("word").rlike(r"[\p{L}†@]")).withColumn("form", F.lower("word")))
+    v = cut(vocabulary(raws))
     best = v.where("not odd").groupBy("skel").agg(F.max(F.struct("n", "form", "capital")).alias("b"))
     best = cut(best.select("skel", F.col("b.form").alias("best"), F.col("b.n").alias("best_n"), F.col("b.capital").alias("capital")))
-    # forms that another of their skeleton may stand for, and all forms of those skeletons
-    doubt = cut(v.drop("capital").join(best, "skel").where("form <> best and (odd or best_n >= n * %d)" % RATIO_IN_CONTEXT))
-    rivals = cut(v.join(doubt.select("skel").distinct(), "skel", "left_semi").select("skel", "form"))
-    near = ws.where("prev is not null and prev <> ''").join(_small(rivals), "form")
-    support = near.groupBy("prev", "skel", "form").agg(F.count(F.lit(1)).alias("m"))
-    support = support.groupBy("prev", "skel").agg(F.max(F.struct("m", "form")).alias("s")).select("prev", "skel", F.col("s.form").alias("usual"), F.col("s.m").alias("usual_n"))
-    cand = ws.join(_small(doubt.select("form", "skel", "n", "odd", "best", "best_n", "capital")), "form").join(support, ["prev", "skel"], "left")
-    sure = F.col("odd") | (F.col("best_n") >= F.col("n") * RATIO) | (F.coalesce(F.col("usual") == F.col("best"), F.lit(False)) & (F.col("usual_n") >= 2))
+    # forms that another of their skeleton may stand for; what isn't sure needs the words before it
+    doubt = v.drop("capital").join(best, "skel").where("form <> best and (odd or best_n >= n * %d)" % RATIO_IN_CONTEXT)
+    doubt = cut(doubt.withColumn("sure", F.col("odd") | (F.col("best_n") >= F.col("n") * RATIO)).drop("n", "odd", "best_n"))
+    size = raws.agg(F.sum("n")).first()[0] or 0
+    cand = cut(_places(ts, raws.join(doubt, "form"), size))
     right = cased(F.col("best"), F.substring("word", 1, 1), F.col("begins"), F.col("word"), F.col("capital"))
-    found = cand.where(sure).select("source_file", "page_number", "line_no", "word", right.alias("repaired")).where("word <> repaired")
-    return found, best
+    show = lambda df: df.select(*LINE, "word", right.alias("repaired")).where("word <> repaired")
+    found = show(cand.where("sure"))
+    before = F.lower(bare(F.col("prev")))
+    open_ = cand.where("not sure").withColumn("prev", before).where("prev <> ''")
+    asked = cut(open_.groupBy("prev", "skel", "form", "best").agg(F.count(F.lit(1)).alias("places")))
+    if asked.isEmpty():
+        return found, best
+    rivals = raws.join(v.join(asked.select("skel").distinct(), "skel", "left_semi").select("skel", "form"), "form").select("raw", "n", "skel", "form")
+    near = _places(ts, rivals, size).withColumn("prev", before).groupBy("prev", "skel", "form").agg(F.count(F.lit(1)).alias("m"))
+    near = near.join(asked.select("prev", "skel").distinct(), ["prev", "skel"], "left_semi")
+    usual = near.groupBy("prev", "skel").agg(F.max(F.struct("m", "form")).alias("s")).where("s.m >= 2").select("prev", "skel", F.col("s.form").alias("best"))
+    backed = cut(asked.join(usual, ["prev", "skel", "best"]).select("prev", "form", "places"))
+    return found.unionByName(show(join_groups(open_, backed, ["prev", "form"], "places", open_.count()))), best
+
+
+def _places(ts: DataFrame, raws: DataFrame, total: int) -> DataFrame:
+    """The tokens among raws, which has its number of places as `n`: sent to all tasks if it is small, else joined."""
+    raws = cut(raws)
+    if raws.count() <= BROADCAST_FORMS:
+        return ts.join(F.broadcast(raws), "raw")
+    return join_groups(ts, raws, ["raw"], "n", total)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -228,7 +295,7 @@ def joined(b: DataFrame, best: DataFrame) -> DataFrame:
     x = x.join(side("s1", "a"), "s1", "left").join(side("s2", "b"), "s2", "left").join(side("s3", "c"), "s3", "left")
     hyphened = F.coalesce(F.col("b_n"), F.lit(0)) > F.coalesce(F.col("a_n"), F.lit(0))
     known = F.coalesce(F.col("a_n"), F.col("b_n")).isNotNull()
-    apart = ~known & F.col("c_n").isNotNull() & F.col("line").rlike(r"[-‐]\s*$") & (F.length("head") <= 6) & (F.lower("tail") == F.col("c_form"))
+    apart = ~known & F.col("c_n").isNotNull() & F.col("soft") & (F.length("head") <= 6) & (F.lower("tail") == F.col("c_form"))
     form = F.when(hyphened, F.col("b_form")).when(F.col("a_n").isNotNull(), F.col("a_form"))
     cap = F.when(hyphened, F.col("b_cap")).otherwise(F.coalesce(F.col("a_cap"), F.lit(False)))
     repaired = F.coalesce(cased(form, F.substring("head", 1, 1), F.lit(False), F.concat("head", "tail"), cap), one)
@@ -237,7 +304,7 @@ def joined(b: DataFrame, best: DataFrame) -> DataFrame:
 
 def damage(raw: DataFrame) -> DataFrame:
     """(source_file, page_number, line_no, defect, repaired) of every damaged place."""
-    pg = cut(pages(raw))
+    pg = kept(pages(raw))
     mk = marks(pg)
     b = body(pg, mk)
     wrong, best = repairs(b)
@@ -251,31 +318,26 @@ def damage(raw: DataFrame) -> DataFrame:
 def paragraphs(raw: DataFrame) -> DataFrame:
     """(source_file, paragraph, text): the repaired body reflowed, paragraphs numbered from 1 in reading order.
 
-    A paragraph ends at a blank line, or at a page's end if its last line ends a sentence. A file of null or blank pages
-    gives none.
+    A paragraph ends at a blank line, or at a page's end if its last line ends a sentence; it is one text, however many
+    pages it runs over. A file of null or blank pages gives none.
     """
-    pg = cut(pages(raw))
+    pg = kept(pages(raw))
     b = body(pg, marks(pg))
     wrong, best = repairs(b)
-    fix = wrong.groupBy("source_file", "page_number", "line_no").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "repaired")))).alias("fix"))
-    whole = joined(b, best).select("source_file", "page_number", "line_no", F.col("repaired").alias("whole"), F.col("head").alias("part"), F.col("tail").alias("rest"))
-    keys = ["source_file", "page_number", "line_no"]
-    x = b.join(fix, keys, "left").join(whole, keys, "left")
-    none = F.from_json(F.lit("{}"), "map<string,string>")
-    ws = F.filter(F.split("line", r"(?U)\s+"), lambda t: t != "")
-    ws = F.when(F.col("skip"), F.slice(ws, 2, 100_000)).otherwise(ws)
+    fix = wrong.groupBy(*LINE).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "repaired")))).alias("fix"))
+    whole = joined(b, best).select(*LINE, F.col("repaired").alias("whole"))
+    x = b.join(fix, LINE, "left").join(whole, LINE, "left")
 
     def mend(t: Column) -> Column:
         w = bare(t)
-        right = F.element_at(F.coalesce("fix", none), w)
+        right = F.try_element_at(F.col("fix"), w)
         return F.when(right.isNotNull(), F.replace(t, w, right)).otherwise(t)
 
-    ended = F.regexp_extract("next", rf"^\S*?({EDGE}*)(?:\s|$)", 1)
-    last = F.element_at(ws, -1)
-    text = F.transform(ws, mend)
-    text = F.when(F.col("whole").isNotNull() & (F.size(ws) > 0), F.concat(F.slice(text, 1, F.greatest(F.size(ws) - 1, F.lit(0))), F.array(F.concat(F.regexp_extract(last, rf"^({EDGE}*)", 1), F.col("whole"), ended)))).otherwise(text)
-    breaks = F.col("starts") | (F.col("page_start") & F.coalesce(F.col("before").rlike(r"[.!?:][”“»\"')]*$"), F.lit(True)))
-    x = x.withColumn("block", F.floor(F.col("page_number") / PAGE_BLOCK)).withColumn("breaks", breaks.cast("int"))
+    # a line gives its first token to the line before it if both share a word, or may share one
+    edge = lambda c, left: F.regexp_extract(c, rf"^({EDGE}*)" if left else rf"({EDGE}*)$", 1)
+    joint = F.when(F.col("whole").isNotNull(), F.array(F.concat(edge(F.col("last"), True), F.col("whole"), edge(F.col("after"), False)))).otherwise(F.filter(F.array("last", "after"), lambda t: t.isNotNull()))
+    text = F.concat(F.when(F.col("fix").isNull(), F.col("ws")).otherwise(F.transform("ws", mend)), joint)
+    x = x.withColumn("block", F.floor(F.col("page_number") / PAGE_BLOCK)).withColumn("breaks", F.col("breaks").cast("int"))
     w = W.partitionBy("source_file", "block").orderBy("page_number")
     x = x.select("source_file", "page_number", "block", "line_no", F.array_join(text, " ").alias("line"), "breaks")
     per = x.groupBy("source_file", "block", "page_number").agg(F.sum("breaks").alias("n"))
