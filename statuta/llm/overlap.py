@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statuta.llm.labels import letters_digits, split_name
-from statuta.runtime import cut, spread
+from statuta.runtime import cut, join_groups, kept, spread
 
 #: Words that may be changed, added or dropped.
 EDITS = 4
@@ -36,7 +36,7 @@ def texts(df: DataFrame, key: str, text: str, split: str) -> tuple[DataFrame, Da
     """
     side = F.when(split_name(F.col(split)) == "train", 1).when(split_name(F.col(split)).isNotNull(), 2)
     rows = df.select(F.col(key).alias("id"), side.alias("side"), letters_digits(F.col(text)).alias("norm"), words_of(F.col(text)).alias("w"))
-    rows = rows.where("side is not null and norm <> ''").withColumn("cls", F.md5("norm"))
+    rows = kept(rows.where("side is not null and norm <> ''").select("id", "side", F.md5("norm").alias("cls"), "w"))
     best = F.max(F.struct(F.size("w"), F.col("w"))).alias("b")
     per = rows.groupBy("cls").agg(best, F.bit_or("side").alias("sides"))
     return rows.select("cls", "id", "side"), per.select("cls", F.col("b.w").alias("words"), "sides")
@@ -217,19 +217,32 @@ def overlaps(df: DataFrame, key: str = "item_id", text: str = "query", split: st
     Null and wordless texts and unassigned rows give no pair; repeated rows give a pair each. Exact copies are paired
     by their class and never compared.
     """
-    members, all_texts = texts(df, key, text, split)
-    members, all_texts = cut(members), cut(all_texts)
-    same = all_texts.where("sides = 3").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"))
-    pairs = same.unionByName(class_pairs(all_texts))
+    members, pairs = matches(df, key, text, split)
     e = members.where("side = 2").select(F.col("cls").alias("cls_a"), F.col("id").alias("item_eval"))
     t = members.where("side = 1").select(F.col("cls").alias("cls_b"), F.col("id").alias("item_train"))
     return pairs.join(e, "cls_a").join(t, "cls_b").select("item_eval", "item_train")
 
 
+def matches(df: DataFrame, key: str, text: str, split: str) -> tuple[DataFrame, DataFrame]:
+    """(members: cls, id, side; pairs of classes that ask the same question: cls_a of an evaluation split, cls_b of train)."""
+    members, all_texts = texts(df, key, text, split)
+    all_texts = cut(all_texts)
+    same = all_texts.where("sides = 3").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"))
+    return members, cut(same.unionByName(class_pairs(all_texts)))
+
+
 def report(df: DataFrame, key: str = "item_id", text: str = "query", split: str = "split") -> DataFrame:
-    """Overlapping pairs and evaluation rows by evaluation split, act and provision (null where a row has no source)."""
+    """Overlapping pairs and evaluation rows by evaluation split, act and provision (null where a row has no source).
+
+    Pairs of rows are counted by the sizes of their classes and never made.
+    """
     from statuta.llm.labels import act, provision
 
+    members, pairs = matches(df, key, text, split)
+    train = members.where("side = 1").groupBy(F.col("cls").alias("cls_b")).agg(F.count(F.lit(1)).alias("n"))
+    per = pairs.join(train, "cls_b").groupBy(F.col("cls_a").alias("cls")).agg(F.sum("n").alias("n"))
+    ev = members.where("side = 2")
+    sizes = ev.groupBy("cls").agg(F.count(F.lit(1)).alias("members"))
+    per = join_groups(ev, per.join(sizes, "cls"), ["cls"], "members", ev.count()).select(F.col("id").alias("item_eval"), "n")
     rows = df.select(F.col(key).alias("item_eval"), split_name(F.col(split)).alias("split"), act(F.col("parent_document")).alias("act"), provision(F.col("source_article")).alias("provision"))
-    per = overlaps(df, key, text, split).groupBy("item_eval").agg(F.count(F.lit(1)).alias("n"))
     return per.join(rows, "item_eval").groupBy("split", "act", "provision").agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("rows"))
