@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statuta.llm.labels import letters_digits
-from statuta.runtime import join_groups
+from statuta.runtime import join_groups, kept
 
 #: Between a tag, a key and a value of the structural form; no normalised text holds it.
 MARK = "\x1f"
@@ -62,9 +62,10 @@ def h_name(name: str) -> str:
 def collapse(df: DataFrame, key: str, value: str, ordered: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows with their root digest and structural form, one record per group of equal values).
 
-    Groups are `root`, `form`, `keep_id` (the smallest key) and `copies`. The form is part of the group, so values
-    whose digests collided would still be told apart. Values without any letter or digit are in no group. Counting is
-    pre-aggregated, so a value with a third of all rows is no hot key.
+    Groups are `root`, `form`, `keep_id` (the smallest key) and `copies`. Rows are grouped by the 32 bytes of the root
+    digest; only the rows of groups with several are then compared by their whole form, which is null for a value that
+    stands alone, so values whose digests collided are told apart. Values without any letter or digit are in no group.
+    Both counts are pre-aggregated, so a value with a third of all rows is no hot key. Leaves are normalised once.
     """
     kind = df.schema[value].dataType
     form = structural(F.col(value), kind, ordered)
@@ -72,8 +73,12 @@ def collapse(df: DataFrame, key: str, value: str, ordered: bool = True) -> tuple
         filled = F.regexp_replace(_values(F.col(value), kind), r"[^\p{L}\p{Nd}]", "") != ""
     else:
         filled = form != ""
-    rows = df.where(filled).select(F.col(key).alias("id"), digest(F.col(value), kind, ordered).alias("root"), form.alias("form"))
-    return rows, rows.groupBy("root", "form").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
+    rows = kept(df.where(filled).select(F.col(key).alias("id"), F.unhex(digest(F.col(value), kind, ordered)).alias("root"), form.alias("form")))
+    by_root = kept(rows.groupBy("root").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies")))
+    several = by_root.where("copies > 1").select("root", "copies")
+    equal = join_groups(rows, several, ["root"], "copies", rows.count()).groupBy("root", "form").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
+    alone = by_root.where("copies = 1").select("root", F.lit(None).cast("string").alias("form"), "keep_id", "copies")
+    return rows, kept(equal.unionByName(alone))
 
 
 def _values(c: Column, kind: T.DataType) -> Column:
@@ -88,11 +93,13 @@ def _values(c: Column, kind: T.DataType) -> Column:
 
 
 def copies(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """(keep_id, copy_id) of every row that isn't the one its group keeps."""
-    several = groups.where("copies > 1")
-    total = rows.count()
-    j = join_groups(rows, several, ["root", "form"], "copies", total)
-    return j.where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
+    """(keep_id, copy_id) of every row that isn't the one its group keeps.
+
+    A row meets its groups by the root digest and stays if its form is the group's.
+    """
+    several = groups.where("copies > 1").withColumnRenamed("form", "whole")
+    j = join_groups(rows, several, ["root"], "copies", rows.count())
+    return j.where("form = whole and id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
 
 
 def payload_fields(candidates: DataFrame, fields: tuple[str, ...] = ("query", "query_type", "difficulty", "persona", "source_article")) -> DataFrame:
