@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark import Broadcast
@@ -21,6 +22,8 @@ VOCABULARIES = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: How this tokenizer cuts a text into pre-tokens, as published with it.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of text whose ids a task holds at a time.
+SLICE_BYTES = 4_000_000
 #: Pre-tokens whose ids a worker remembers.
 REMEMBERED = 200_000
 
@@ -149,6 +152,20 @@ def encoder(spark: SparkSession, path: str | None = None) -> Broadcast:
     return spark.sparkContext.broadcast(Encoder(path or os.path.join(VOCABULARIES, VOCABULARY)))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in order, as few at a time as hold about SLICE_BYTES of text; a longer text is alone."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
+        at, total = 0, 0
+        for i, n in enumerate(sizes):
+            if i > at and total + n > SLICE_BYTES:
+                yield b.slice(at, i - at)
+                at, total = i, 0
+            total += n
+        if at < b.num_rows:
+            yield b.slice(at)
+
+
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(key, ids) of every row; null and empty texts give an empty list, blank ones the ids of their blanks.
 
@@ -159,7 +176,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = shared.value
-        for b in batches:
+        for b in slices(batches):
             ids = [e.encode(t) for t in b.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             flat = np.fromiter((x for i in ids for x in i), dtype=np.int32, count=int(ends[-1]))
@@ -175,7 +192,7 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = shared.value
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(e.encode(t)) for t in b.column(1).to_pylist()], pa.int64())], [key, "tokens"])
 
     return widen(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, tokens long")
