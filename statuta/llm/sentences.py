@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -26,10 +28,13 @@ BITS = 18
 ENDS = ".!?;…。！？｡．؟؛۔।॥;"
 OPENERS = {"(": ")", "[": "]", "“": "”", "«": "»", "„": "“", "「": "」", "『": "』", "（": "）", "【": "】", "‘": "’", "‹": "›"}
 CLOSERS = set(OPENERS.values()) | {'"', "'"}
+MARKS = re.compile("[" + re.escape("".join(sorted(set(OPENERS) | CLOSERS))) + "]")
 BLANK_LINE = re.compile(r"\n[^\S\n]*(?:\n\s*)+")
 END_RUN = re.compile(f"[{re.escape(ENDS)}]+")
 UNSPACED_SPACE = re.compile(r"(?<=[฀-๿຀-໿ក-៿က-႟0-9A-Za-z%)])[^\S\n]*\n?[^\S\n]*(?<=\s)(?=\S)")
 WORD = re.compile(r"[^\s“”«»„「」『』（）()\"‘\[\]]+$")
+SPACE = re.compile(r"\s*")
+WORD_END = re.compile(r"[\s.,;:!?]")
 ROMAN = re.compile(r"[IVXLC]+$")
 #: Scripts that mark no sentence ends; there blanks are the candidates.
 UNPUNCTUATED = re.compile("[฀-๿຀-໿ក-៿က-႟]")
@@ -47,6 +52,7 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
         at = m.end() if m else len(text)
 
 
+@lru_cache(100_000)
 def _kind(c: str) -> str:
     if not c:
         return "none"
@@ -62,6 +68,7 @@ def _kind(c: str) -> str:
     return "punct"
 
 
+@lru_cache(100_000)
 def _script(c: str) -> str:
     o = ord(c) if c else 0
     for name, a, b in (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("arabic", 0x600, 0x6FF), ("indic", 0x900, 0xDFF), ("thai", 0xE00, 0xEFF), ("cjk", 0x3000, 0x9FFF)):
@@ -73,36 +80,36 @@ def _script(c: str) -> str:
 def depths(p: str) -> list[tuple[int, int]]:
     """(start, end) of the outermost quotations and parentheses of a paragraph; marks without a partner don't count.
 
-    A straight or raised mark between two letters is an apostrophe.
+    A straight or raised mark between two letters is an apostrophe. One pass, however many marks are never closed.
     """
-    spans, stack = [], []
-    for i, c in enumerate(p):
-        if c not in OPENERS and c not in CLOSERS:
-            continue
+    pairs, stack = [], []
+    open_: Counter = Counter()
+    for m in MARKS.finditer(p):
+        i, c = m.start(), m.group()
         before, after = p[i - 1 : i], p[i + 1 : i + 2]
         if c in "'’" and before.isalpha() and after.isalpha():
             continue
         if stack and c == stack[-1][1]:
-            a, _ = stack.pop()
-            if not stack:
-                spans.append((a, i + 1))
+            pairs.append((stack.pop()[0], i + 1))
+            open_[c] -= 1
         elif c in "\"'":
             if not before.isalnum() and not after.isspace() and after:
                 stack.append((i, c))
+                open_[c] += 1
         elif c in OPENERS:
             stack.append((i, OPENERS[c]))
-        elif any(c == want for _, want in stack):  # an inner mark was never closed
+            open_[OPENERS[c]] += 1
+        elif open_[c]:  # an inner mark was never closed
             while stack[-1][1] != c:
-                stack.pop()
-            a, _ = stack.pop()
-            if not stack:
-                spans.append((a, i + 1))
-    if stack and spans and any(a >= stack[0][0] for a, _ in spans):
-        return sorted(spans)
-    if stack:  # an opener without partner hides what follows it: look again behind it
-        a = stack[0][0]
-        return sorted(s for s in spans if s[1] <= a) + [(x + a + 1, y + a + 1) for x, y in depths(p[a + 1 :])]
-    return spans
+                open_[stack.pop()[1]] -= 1
+            pairs.append((stack.pop()[0], i + 1))
+            open_[c] -= 1
+    out, left = [], len(p) + 1
+    for x, y in reversed(pairs):  # pairs come by their ends, an outer one after those inside it
+        if y <= left:
+            out.append((x, y))
+            left = x
+    return out[::-1]
 
 
 def candidates(p: str) -> list[tuple[int, int, bool]]:
@@ -137,7 +144,9 @@ def candidates(p: str) -> list[tuple[int, int, bool]]:
 
 
 def _around(spans: list[tuple[int, int]], i: int) -> list[tuple[int, int]]:
-    return [s for s in spans if s[0] <= i <= s[1] + 1]
+    """Those of the spans, which are apart and in order, that i lies in or right behind."""
+    k = bisect_right(spans, (i, 1 << 62))
+    return [s for s in spans[max(0, k - 3) : k] if i <= s[1] + 1]
 
 
 def token_type(p: str, a: int) -> str:
@@ -171,8 +180,13 @@ def _type(p: str, a: int, e: int) -> str:
 
 
 def _next(text: str, e: int) -> str:
-    m = re.compile(r"\s*").match(text, e)
-    return text[m.end() : m.end() + 24]
+    i = SPACE.match(text, e).end()
+    return text[i : i + 24]
+
+
+@lru_cache(200_000)
+def _hash(s: str) -> int:
+    return crc32(s.encode()) & ((1 << BITS) - 1)
 
 
 def features(p: str, a: int, e: int, nxt: str) -> list[int]:
@@ -183,7 +197,7 @@ def features(p: str, a: int, e: int, nxt: str) -> list[int]:
     sc = _script(p[a - 1 : a])
     k = _kind(nxt[:1])
     lead = nxt.lstrip("¿¡“«„‘'\"(「（  ")
-    word = re.split(r"[\s.,;:!?]", lead.lower(), maxsplit=1)[0][:10]
+    word = WORD_END.split(lead.lower(), maxsplit=1)[0][:10]
     before = p[max(0, a - 60) : a].lower().split()
     f = [
         f"t {t}", f"t {t} {k}", f"m {mark} {sc} {k}", f"r {run[:4]} {k}", f"k {k}", f"w {word}", f"w {word} {mark}",
@@ -193,15 +207,36 @@ def features(p: str, a: int, e: int, nxt: str) -> list[int]:
     if a == e:
         x, y = p[a - 1 : a], nxt[:1]
         f += [f"x {p[a - 3 : a]}", f"y {nxt[:3]}", f"x1 {p[a - 1 : a].isdigit()}{y.isdigit()}", f"z {_script(x)} {_script(y)} {x.isdigit()} {y.isdigit()}"]
-    return [crc32(s.encode()) & ((1 << BITS) - 1) for s in f]
+    return [_hash(s) for s in f]
+
+
+def stripped(text: str) -> tuple[str, set[int]]:
+    """A text with its end marks and blank lines taken out, one paragraph behind the other, and the places of the blanks
+    where a sentence is known to end: a mark before white space, or a paragraph, stood there."""
+    out, ends, n = [], set(), 0
+    for a, b in paragraphs(text):
+        p, at = text[a:b], 0
+        for m in END_RUN.finditer(p):
+            s, e = m.span()
+            if e < len(p) and not p[e].isspace() or p[s - 1 : s].isdigit():
+                continue  # inside a number or word
+            out.append(p[at:s])
+            n += s - at
+            at = e
+            ends.add(n)
+        out.append(p[at:] + " ")
+        n += len(p) - at
+        ends.add(n)
+        n += 1
+    return "".join(out).rstrip(), ends
 
 
-def examples(text: str, seed: int = 0) -> list[tuple[str, list[int], int, bool, str]]:
-    """Candidates of a document with (type, features, weak label, inside, next), label -1 where nothing is known.
+def examples(text: str, seed: int = 0) -> list[list[tuple[str, list[int], int, bool, str]]]:
+    """Chains of a document's candidates as (type, features, weak label, inside, next), label -1 where nothing is known.
 
     A paragraph's end is a boundary. To show the tagger what such a boundary looks like inside running text, the end is
-    paired with the beginning of another paragraph, as if the blank line were stripped; in scripts without marks the
-    paragraphs are joined by a mere blank.
+    paired with the beginning of another paragraph, as if the blank line were stripped. Texts in scripts without marks
+    give a second chain, over the text stripped of all marks and blank lines: its boundaries are where those stood.
     """
     ps = [text[a:b] for a, b in paragraphs(text)]
     starts = [p for p in ps if p[:1].isalpha() or p[:1] in OPENERS or p[:1] in "¿¡"]
@@ -215,9 +250,15 @@ def examples(text: str, seed: int = 0) -> list[tuple[str, list[int], int, bool,
         n = rnd.choice(starts)[:24] if starts else ""
         if m and n:
             out.append((_type(p, m.start(), len(p)), features(p, m.start(), len(p), n), 2, False, n))
-        elif n and UNPUNCTUATED.search(p[-1:]) and len(p) > 12:
-            out.append(("_", features(p, len(p), len(p), n), 2, False, n))
-    return out
+    chains = [out]
+    if UNPUNCTUATED.search(text):
+        bare, ends = stripped(text)
+        chain = []
+        for a, e, inside in candidates(bare):
+            n = _next(bare, e)
+            chain.append((_type(bare, a, e), features(bare, a, e, n), 2 if e in ends and a == e else 0 if inside else -1, inside, n))
+        chains.append(chain)
+    return chains
 
 
 def weak_labels(docs: list[list[tuple[str, list[int], int, bool, str]]]) -> list[list[tuple[list[int], int]]]:
@@ -257,66 +298,84 @@ class Tagger:
     """A linear-chain model over the candidates: hashed features, two labels, learned transitions, Viterbi decoding.
 
     Characters that can't end a sentence are inside with certainty, so decoding the candidates decodes all characters.
+    A weight is what a feature speaks for a boundary rather than none.
     """
 
     def __init__(self) -> None:
-        self.w = np.zeros((2, 1 << BITS), dtype=np.float32)
+        self.w = np.zeros(1 << BITS, dtype=np.float32)
         self.trans = np.zeros((2, 2), dtype=np.float32)
+        self.weights: list[float] = []
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"weights": []}
 
-    def scores(self, chain: list[list[int]]) -> np.ndarray:
-        return np.array([self.w[:, f].sum(axis=1) for f in chain], dtype=np.float32).reshape(len(chain), 2)
+    def scores(self, chain: list[list[int]]) -> list[float]:
+        """For each candidate, how much speaks for a boundary."""
+        if not self.weights:
+            self.weights = self.w.tolist()
+        at = self.weights.__getitem__
+        return [sum(map(at, f)) for f in chain]
 
-    def decode(self, scores: np.ndarray, known: list[int] | None = None) -> list[int]:
+    def decode(self, scores: list[float], known: list[int] | None = None) -> list[int]:
         """The best labels; `known` fixes those that aren't -1."""
-        if not len(scores):
-            return []
-        s = [list(map(float, x)) for x in scores]
-        if known:
-            for x, y in zip(s, known):
-                if y >= 0:
-                    x[1 - y] = -1e9
-        (t00, t01), (t10, t11) = self.trans.tolist()
-        v0, v1 = s[0]
-        back = []
-        for x0, x1 in s[1:]:
-            a, b = v0 + t00, v1 + t10
-            c, d = v0 + t01, v1 + t11
-            back.append((int(b > a), int(d > c)))
-            v0, v1 = max(a, b) + x0, max(c, d) + x1
-        y = [int(v1 > v0)]
-        for b in reversed(back):
-            y.append(b[y[-1]])
-        return y[::-1]
+        return _viterbi(scores, known, self.trans.tolist())
 
     def train(self, chains: list[list[tuple[list[int], int]]], epochs: int = EPOCHS, seed: int = 5) -> Tagger:
         """Averaged structured perceptron; what isn't labelled follows the best decoding that agrees with the labels."""
         chains = [c for c in chains if c]
-        acc, acc_t, step = np.zeros_like(self.w), np.zeros_like(self.trans), 1
+        w, acc = [0.0] * (1 << BITS), [0.0] * (1 << BITS)
+        trans, acc_t, step = [[0.0, 0.0], [0.0, 0.0]], np.zeros((2, 2)), 1
         rnd = random.Random(seed)
         for _ in range(epochs):
             rnd.shuffle(chains)
             for c in chains:
-                fs, known = [f for f, _ in c], [y for _, y in c]
-                s = self.scores(fs)
-                got = self.decode(s)
-                want = self.decode(s, known)
+                known = [y for _, y in c]
+                s = [sum(map(w.__getitem__, f)) for f, _ in c]
+                got = _viterbi(s, None, trans)
+                want = _viterbi(s, known, trans)
                 if got != want:
                     for i, (g, y) in enumerate(zip(got, want)):
                         if g != y:
-                            for z, d in ((y, 1.0), (g, -1.0)):
-                                np.add.at(self.w[z], fs[i], d)
-                                np.add.at(acc[z], fs[i], d * step)
+                            d = 2.0 * (y - g)
+                            for k in c[i][0]:
+                                w[k] += d
+                                acc[k] += d * step
                         if i and (got[i - 1], g) != (want[i - 1], y):
-                            self.trans[want[i - 1], y] += 1
-                            self.trans[got[i - 1], g] -= 1
+                            trans[want[i - 1]][y] += 1
+                            trans[got[i - 1]][g] -= 1
                             acc_t[want[i - 1], y] += step
                             acc_t[got[i - 1], g] -= step
                 step += 1
-        self.w -= acc / step
-        self.trans -= acc_t / step
+        self.w = (np.array(w) - np.array(acc) / step).astype(np.float32)
+        self.trans = (np.array(trans) - acc_t / step).astype(np.float32)
+        self.weights = []
         return self
 
 
+def _viterbi(scores: list[float], known: list[int] | None, trans: list[list[float]]) -> list[int]:
+    """The best labels of a chain whose scores speak for label 1; `known` fixes those that aren't -1."""
+    if not scores:
+        return []
+    (t00, t01), (t10, t11) = trans
+    back = []
+    v0 = v1 = 0.0
+    for i, s in enumerate(scores):
+        x0, x1 = 0.0, s
+        if known and known[i] >= 0:
+            x0, x1 = (-1e9, x1) if known[i] else (x0, -1e9)
+        if i:
+            a, b = v0 + t00, v1 + t10
+            c, d = v0 + t01, v1 + t11
+            back.append((int(b > a), int(d > c)))
+            v0, v1 = max(a, b) + x0, max(c, d) + x1
+        else:
+            v0, v1 = x0, x1
+    y = [int(v1 > v0)]
+    for b in reversed(back):
+        y.append(b[y[-1]])
+    return y[::-1]
+
+
 def spans(text: str | None, tagger: Tagger) -> list[tuple[int, int]]:
     """(start, end) of the sentences of a text, in code points."""
     if not text:
@@ -342,7 +401,7 @@ def spans(text: str | None, tagger: Tagger) -> list[tuple[int, int]]:
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", documents: int = TRAIN_DOCUMENTS) -> Tagger:
     """A tagger trained on at most `documents` documents, those with the smallest hash of their key."""
     rows = df.where(F.length(F.col(text)).between(1, TRAIN_CHARS)).select(F.col(text).alias("t"), F.xxhash64(F.lit(3), F.col(key)).alias("h"))
-    docs = [examples(r["t"], i) for i, r in enumerate(rows.orderBy("h", "t").limit(documents).collect())]
+    docs = [c for i, r in enumerate(rows.orderBy("h", "t").limit(documents).collect()) for c in examples(r["t"], i)]
     return Tagger().train(weak_labels(docs))
 
 
