@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statuta.llm.labels import label
-from statuta.runtime import numbered
+from statuta.runtime import kept, numbered
 
 FIELDS = ("query_type", "difficulty", "persona")
 #: Rounds of proportional fitting; the cells are few, so it costs nothing.
@@ -33,20 +33,24 @@ def draw_order(seed: int):
 
 
 def targets_report(questions: DataFrame, targets: DataFrame, fields: tuple[str, ...] = FIELDS, seed: int = 7) -> DataFrame:
-    """Of each target the rows it asks for, the rank at which its category is exhausted, and whether that is too few.
+    """Of each target the rows it asks for, those that a draw for it alone gets, and whether they are too few.
 
-    Each category's questions get random ranks 1..n; a target is met by the ranks up to
-    greatest(target_share * sample_size, min_rows). A category that the pool lacks has rank 0.
+    Each category's questions get random ranks 1..n; the rank r has priority (r - 0.5) / required. A target draws by
+    priority until it has greatest(target_share * sample_size, min_rows) rows or its category is exhausted, which makes
+    it unmet. A category that the pool lacks draws nothing; `available` is the last rank of a category.
     """
-    each = questions.select("query_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("category")) for f in fields])).alias("x"))
-    each = each.select("query_id", "x.field_name", "x.category").where(F.col("category").isNotNull())
-    ranked = numbered(each, ["field_name", "category"], draw_order(seed), "rank")
-    last = ranked.groupBy("field_name", F.col("category").alias("key")).agg(F.max("rank").alias("available"))
+    each = questions.select("query_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("key")) for f in fields])).alias("x"))
+    each = each.select("query_id", "x.field_name", "x.key").where(F.col("key").isNotNull())
+    ranked = kept(numbered(each, ["field_name", "key"], draw_order(seed), "rank"))
+    last = ranked.groupBy("field_name", "key").agg(F.max("rank").alias("available"))
     # as many targets as the plans list, whatever the pool's size
     t = targets.withColumn("key", label(F.col("category")))
     t = t.withColumn("required", F.greatest(F.round(F.col("target_share") * F.col("sample_size"), 6), F.col("min_rows").cast("double")))
-    out = t.join(last, ["field_name", "key"], "left").withColumn("available", F.coalesce("available", F.lit(0)))
-    return out.select("plan_name", "field_name", "category", "key", "sample_size", "target_share", "min_rows", "required", "available", (F.col("available") < F.col("required")).alias("unmet"))
+    want = F.broadcast(t.where("key is not null").select("plan_name", "field_name", "key", "required"))
+    upto = (F.ceil("required") - 0.5) / F.col("required")
+    drawn = ranked.join(want, ["field_name", "key"]).where((F.col("rank") - 0.5) / F.col("required") <= upto).groupBy("plan_name", "field_name", "key").agg(F.count(F.lit(1)).alias("drawn"))
+    out = t.join(last, ["field_name", "key"], "left").join(drawn, ["plan_name", "field_name", "key"], "left").fillna(0, ["available", "drawn"])
+    return out.select("plan_name", "field_name", "category", "key", "sample_size", "target_share", "min_rows", "required", "available", "drawn", (F.col("drawn") < F.col("required")).alias("unmet"))
 
 
 def _fit(n: np.ndarray, codes: list[np.ndarray], want: list[np.ndarray]) -> np.ndarray:
