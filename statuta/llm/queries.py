@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.llm import copies, overlap, packing, pairs, sampling, scans, sentences, splits, terms, tokens
-from statuta.runtime import table
+from statuta.runtime import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -80,18 +80,24 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
 
-def _packed(spark: SparkSession, d: str) -> DataFrame:
+def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     capacity = table(spark, d, "pack_capacities").where("container_kind = 'standard'").first()["capacity_tokens"]
-    items = packing.pieces(tokens.count_tokens(table(spark, d, "documents")), capacity)
-    return packing.fill(items, capacity)
+    items = cut(packing.pieces(tokens.count_tokens(table(spark, d, "documents")), capacity))
+    return packing.fill(items, capacity), capacity
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).where("piece > 0").select("doc_id").distinct()
+    """Documents that lie in more than one container of the packing."""
+    per = _packed(spark, d)[0].groupBy("doc_id").agg(F.min("container").alias("a"), F.max("container").alias("b"))
+    return per.where("a <> b").select("doc_id")
 
 
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).select("container", "doc_id", "piece", "start", F.col("size").alias("tokens"), "part_bins", "part_bound")
+    return _packed(spark, d)[0].select("container", "doc_id", "piece", "start", F.col("size").alias("tokens"), "part_bins", "part_bound")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.certificate(*_packed(spark, d))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
