@@ -14,10 +14,10 @@ def source_label(label: Column, title: Column) -> Column:
     return F.concat(head, F.when(title.isNotNull() & (title != ""), F.concat(F.lit(" — "), title)).otherwise(""))
 
 
-# The frame of a question's prompt, as the answering model is used to it.
-CONTEXT_HEADER = "Below are the relevant passages retrieved from the regulatory corpus. Use only these passages to answer the question.\n\n--- RETRIEVED CONTEXT ---\n"
-CONTEXT_END = "--- END OF CONTEXT ---\n\nQuestion: "
-ANSWER = "\n\nAnswer (with citations):"
+#: The frame of a question's prompt.
+CONTEXT_HEADER = "Numbered passages follow, the best first. Answer from nothing else.\n\n<passages>\n"
+CONTEXT_END = "</passages>\n\nAsked: "
+ANSWER = "\n\nReply, naming the provisions it rests on:"
 
 
 def prompts(hits: DataFrame, qkey: str = "query_id", query: str = "query") -> DataFrame:

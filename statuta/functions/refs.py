@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from statuta.functions.text import strip
+
 # What counts as a citation, a reference to another act, a decline, a misplaced framing.
 CITATION = r"Article\s+\d+(?:\((?:\d+|[a-z]{1,4})\))*|Annex\s+[IVX]+(?:[,\s]+Section\s+[0-9A-Z]\b)?|Recital\s+\d+"
 OTHER_ACT = r",?\s*(?:(?:of|in)\s+(?:that\s+|the\s+)?(?:Regulation|Directive|Decision|Treaty|Charter|Council)|(?:TFEU|TEU)\b)"
@@ -42,10 +44,11 @@ def cross_references(c: Column) -> Column:
 
 
 def parse(c: Column) -> Column:
-    """STRUCT(kind, number, path) of a reference, null if it is none.
+    """STRUCT(kind, number, path) of a reference, null if it is none; white space around it doesn't count.
 
     Annexes have roman numbers in upper case, articles and recitals digits; path parts are in lower case.
     """
+    c = strip(c)
     kind = F.lower(F.regexp_extract(c, PARSE, 1))
     number = F.upper(F.regexp_extract(c, PARSE, 2))
     rest = F.regexp_extract(c, PARSE, 3)

@@ -30,7 +30,8 @@ def fixed_size(units: DataFrame, size: int = 500, overlap: int = 50, doc: str =
     ws = F.split(strip(F.coalesce(F.col("text"), F.lit(""))), r"(?U)\s+")
     u = units.withColumn("__w", ws).withColumn("__n", F.size("__w"))
     w = W.partitionBy(doc).orderBy(index).rowsBetween(W.unboundedPreceding, -1)
-    u = u.withColumn("__at", F.coalesce(F.sum("__n").over(w), F.lit(0)).cast("long"))
+    at = u.select(F.col(doc).alias("__d"), F.col(index).alias("__i"), F.coalesce(F.sum("__n").over(w), F.lit(0)).cast("long").alias("__at"))
+    u = u.join(at, F.col(doc).eqNullSafe(F.col("__d")) & F.col(index).eqNullSafe(F.col("__i"))).drop("__d", "__i")
     meta = [c for c in units.columns if c not in ("text", doc, index)]
     lo = F.greatest(F.ceil((F.col("__at") - size + 1) / step), F.lit(0)).cast("int")
     hi = F.floor((F.col("__at") + F.col("__n") - 1) / step).cast("int")

@@ -38,8 +38,11 @@ def lines(pages: DataFrame, doc: str = "source_file") -> DataFrame:
     keep = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("eli").cast("int") - 1, F.lit(1))), F.lit(0), lambda acc, i: F.when((F.get("ls", i - 1) == "") | F.get("ls", i - 1).rlike(FURNITURE), acc).otherwise(i))
     n = F.when(F.col("eli") == 0, F.size("ls")).when(F.col("eli") == 1, 0).otherwise(keep)
     x = x.withColumn("ls", F.filter(F.slice("ls", F.lit(1), n), lambda t: t != ""))
-    # a page has fewer than 2 ** 20 lines
-    return x.select(doc, F.posexplode("ls").alias("i", "line"), "page_number").select(doc, (F.shiftleft(F.col("page_number").cast("long"), 20) + F.col("i")).alias("pos"), "line")
+    # a line's number goes on from the lines of the pages before it
+    before = F.coalesce(F.sum(F.size("ls")).over(W.partitionBy(doc).orderBy("page_number").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    at = x.select(doc, "page_number", before.alias("before"))
+    x = x.join(at, [doc, "page_number"]).select(doc, "before", F.posexplode("ls").alias("i", "line"))
+    return x.select(doc, (F.col("before") + F.col("i")).alias("pos"), "line")
 
 
 def _accept(cands: Column, first_any: Column) -> Column:
@@ -121,7 +124,7 @@ def units(pages: DataFrame, doc: str = "source_file", source_url: str = "", publ
     x = x.withColumn("lost", F.coalesce(F.col("strict") & (F.col("pos") > F.col("w")) & (F.col("unit") == 0), F.lit(False))).where(~F.col("lost"))
     x = x.where((~F.col("off") | F.col("label").isNotNull()) & ~F.col("heading") & ~(F.col("closed") & F.col("label").isNull()))
     g = x.groupBy(doc, "unit").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"), F.max("label").alias("label"), F.min("pos").alias("pos"), F.bool_or(F.coalesce("dfn", F.lit(False))).alias("is_dfn"), F.first("strict").alias("strict"))
-    body = F.transform(F.slice("ls", F.when(F.col("label").isNotNull(), 2).otherwise(1), F.lit(1_000_000)), lambda t: t["line"])
+    body = F.transform(F.slice("ls", F.when(F.col("label").isNotNull(), 2).otherwise(1), F.size("ls")), lambda t: t["line"])
     title0 = F.struct(F.get("body", F.lit(0)).alias("t"), F.lit(True).alias("open"))
 
     def more(s: Column, line: Column) -> Column:
@@ -130,7 +133,7 @@ def units(pages: DataFrame, doc: str = "source_file", source_url: str = "", publ
 
     g = g.withColumn("body", body)
     titled = F.col("label").startswith("Article ") & ~F.col("is_dfn") | F.col("label").startswith("Annex ")
-    title = F.when(titled & (F.size("body") > 0), F.aggregate(F.slice("body", 2, 1_000_000), title0, more)["t"]).otherwise("")
+    title = F.when(titled & (F.size("body") > 0), F.aggregate(F.slice("body", F.lit(2), F.size("body")), title0, more)["t"]).otherwise("")
     g = g.withColumn("title", F.coalesce(title, F.lit(""))).withColumn("label", F.coalesce("label", F.when(F.col("strict") | (F.col("unit") == 0), F.lit("Preamble"))))
     g = g.where((F.col("label") != "Preamble") | F.col("strict"))
     text = strip(F.array_join(F.transform("ls", lambda t: t["line"]), "\n"))

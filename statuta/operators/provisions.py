@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statuta.functions.refs import overlaps, parse
-from statuta.functions.text import windows, words
+from statuta.functions.text import window_hashes, words
 
 #: A definition inside an article, whose first words are the article's heading and are left out of its windows.
 DEFINITION = r"^Article \d+\(\d+\)$"
@@ -20,16 +20,15 @@ def owners(units: DataFrame, size: int = 12, label: str = "article_number", text
     """
     # words stand in a column of their own: inside the windows they would be cut out again for each
     u = units.where(F.col(label).isNotNull()).select(F.col(label).alias("owner"), words(F.col(text)).alias("w"))
-    u = u.select("owner", F.when(F.col("owner").rlike(DEFINITION), F.slice("w", HEADING_WORDS + 1, 1_000_000)).otherwise(F.col("w")).alias("w"))
-    once = u.select("owner", F.explode(F.array_distinct(windows(F.col("w"), size))).alias("w"))
-    g = once.select("owner", F.sha2("w", 256).alias("gram")).groupBy("gram").agg(F.min("owner").alias("owner"), F.max("owner").alias("other"))
+    u = u.select("owner", F.when(F.col("owner").rlike(DEFINITION), F.slice("w", F.lit(HEADING_WORDS + 1), F.greatest(F.size("w"), F.lit(1)))).otherwise(F.col("w")).alias("w"))
+    once = u.select("owner", F.explode(window_hashes(F.col("w"), size)).alias("gram"))
+    g = once.groupBy("gram").agg(F.min("owner").alias("owner"), F.max("owner").alias("other"))
     return g.where(F.col("owner") == F.col("other")).select("gram", "owner")
 
 
 def contained(passages: DataFrame, own: DataFrame, key: str, text: str = "text", size: int = 12) -> DataFrame:
     """(key, label, first): labels of which a passage holds a run of words, with the place of the first such run."""
-    p = passages.select(F.col(key), words(F.col(text)).alias("w")).select(key, F.posexplode(windows(F.col("w"), size)).alias("pos", "w"))
-    p = p.select(key, "pos", F.sha2("w", 256).alias("gram"))
+    p = passages.select(F.col(key), words(F.col(text)).alias("w")).select(key, F.posexplode(window_hashes(F.col("w"), size)).alias("pos", "gram"))
     return p.join(own, "gram").groupBy(key, F.col("owner").alias("label")).agg(F.min("pos").alias("first"))
 
 

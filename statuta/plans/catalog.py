@@ -94,9 +94,10 @@ def chunk_fixed_size(spark, d):
 
 
 def upsert_latest(spark, d):
+    """The chunks of the last run put into a collection of all others, where many of them are already."""
     c = table(spark, d, "chunks").select("chunk_id", "article_number", "ingestion_run_id", "ingested_at")
-    first = c.where(F.col("ingestion_run_id") == "none")
-    return store.upsert(first, store.latest(c)).select("chunk_id", "ingestion_run_id", "article_number")
+    last = F.col("ingestion_run_id").eqNullSafe(c.select(F.max("ingestion_run_id")).scalar())
+    return store.upsert(store.latest(c.where(~last)), store.latest(c.where(last))).select("chunk_id", "ingestion_run_id", "article_number")
 
 
 def collection_count(spark, d):
@@ -181,12 +182,12 @@ def _runs(spark, d):
 
 
 def run_summary(spark, d):
-    return _runs(spark, d).select("tag", "n_questions", "n_answerable", "n_unanswerable", "unanswerable_declined", "answerable_declined", "citations_grounded", "citations_wrong_label", "citations_cross_reference", "citations_unsupported", "n_citations", "citation_completeness", "bad_framing_rate")
+    return _runs(spark, d).select("tag", "n_questions", "n_answerable", "n_unanswerable", "unanswerable_declined", "answerable_declined", "citations_grounded", "citations_wrong_label", "citations_cross_reference", "citations_unsupported", "n_citations", "citation_completeness", "bad_framing_rate", "recall_at_1", "recall_at_3", "recall_at_5", "mrr", "avg_context_chars", "avg_cost_usd")
 
 
 def compare_runs_pivot(spark, d):
     tags = [r[0] for r in table(spark, d, "llm_responses").where("model is not null").select("model").distinct().orderBy("model").collect()]
-    return metrics.compare(_runs(spark, d).drop("avg_context_chars", "avg_cost_usd"), tags)
+    return metrics.compare(_runs(spark, d), tags)
 
 
 def run_join_ab(spark, d):
@@ -239,7 +240,7 @@ def citation_verify(spark, d):
 
 
 def citation_statuses(spark, d):
-    return _records(spark, d).select("response_id", "n_wrong_label", "n_cross_reference", "n_unsupported")
+    return _records(spark, d).select("response_id", "n_retrieved", "n_wrong_label", "n_cross_reference", "n_unsupported")
 
 
 def decline_framing(spark, d):

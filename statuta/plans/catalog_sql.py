@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from statuta.functions.payloads import ANSWER, CONTEXT_END, CONTEXT_HEADER
+from statuta.operators.costs import INPUT_DEFAULT, INPUT_PRICE, OUTPUT_DEFAULT, OUTPUT_PRICE
+
 STRIP = r"regexp_replace(regexp_replace({0}, '^[\s\x{{00a0}}\x{{2000}}-\x{{200a}}\x{{3000}}]+', ''), '[\s\x{{00a0}}\x{{2000}}-\x{{200a}}\x{{3000}}]+$', '')"
 TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda w: w <> '')"
 WORDS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+')"
@@ -53,7 +56,7 @@ QUESTIONS = "qs as (select item_id, query as text, gold_provisions from golden_d
 VECTORS = "qv as (select vec_id as query_id, embedding as vector from embeddings where vec_id % 20 = 0)"
 HYBRID = f"""
 docs as (select doc_id as chunk_id, text, doc_kind, embedding from documents join embeddings on doc_id = vec_id where text is not null),
-qs as (select chunk_id as query_id, array_to_string(({TOKENS.format('text')})[1:8], ' ') as text, embedding as vector from docs where chunk_id % 20 = 0),
+qs as (select chunk_id as query_id, text, embedding as vector from docs where chunk_id % 20 = 0),
 {_near('qs', 'docs', 'query_id', 'chunk_id', 60, 'dn')},
 {_bm25('docs', 'qs', 'chunk_id', 'query_id', 60, 'lx')},
 {_rrf('dn', 'lx', 'query_id', 'chunk_id', 20, 'fused')}"""
@@ -67,6 +70,7 @@ held as (select chunk_id, owner as label, min(pos) as first from (select chunk_i
 
 def _ref(c: str) -> str:
     p = r"(?i)^(Article|Annex|Recital)\s+(\d+|[IVXLC]+)(.*)$"
+    c = STRIP.format(c)
     kind, number, rest = f"lower(regexp_extract({c}, '{p}', 1))", f"upper(regexp_extract({c}, '{p}', 2))", f"regexp_extract({c}, '{p}', 3)"
     parts = rf"list_transform(regexp_extract_all({rest}, '(?i)\((?:\d+|[a-z]{{1,4}})\)|Section\s+[\p{{L}}\p{{N}}_]+'), lambda x: lower(case when x[1] = '(' then replace(replace(x, '(', ''), ')', '') else regexp_replace(x, '(?i)^section\s+', 'section ') end))"
     return f"case when {kind} = 'annex' or ({kind} <> '' and regexp_full_match({number}, '[0-9]+')) then {{'kind': {kind}, 'number': {number}, 'path': {parts}}} end"
@@ -103,18 +107,35 @@ SENTENCES = r"string_split(regexp_replace(coalesce(answer, ''), '([.!?])\s+', '\
 FACTUAL = f"len(list_filter({SENTENCES}, lambda s: length({STRIP.format('s')}) > 20 and not ({' or '.join(f'starts_with({STRIP.format(chr(115))}, {chr(39)}{x}{chr(39)})' for x in ('Note', 'Disclaimer', '⚠️', 'This is informational'))})))"
 COMPLETENESS = f"case when {FACTUAL} = 0 then 1.0 else least(len(cs) / {FACTUAL}, 1.0) end"
 RECORDS = f"""
-{GIVEN},
-st as (select cp.response_id, cp.i, case when same.i is not null then 'wrong_label' when named.i is not null then 'cross_reference' else 'unsupported' end as s
-  from cp left join same on same.response_id = cp.response_id and same.i = cp.i left join named on named.response_id = cp.response_id and named.i = cp.i),
-n as (select response_id, count(*) as n, sum((s = 'wrong_label')::int) as wl, sum((s = 'cross_reference')::int) as cr, sum((s = 'unsupported')::int) as un from st group by 1),
-rec as (select r.response_id, model as tag, query_id is null as un_q, {DECLINED} as declined, coalesce(n, 0) as n, coalesce(wl, 0) as wl, coalesce(cr, 0) as cr, coalesce(un, 0) as un, {COMPLETENESS} as completeness, {FRAMING} as framing
-  from r left join n using (response_id) where model is not null),
+{GIVEN}, {GRAMS},
+ids as (select response_id, query_id, unnest(ids) as chunk_id, generate_subscripts(ids, 1) - 1 as rank from (select response_id, query_id, {_distinct('retrieved_chunk_ids')} as ids from llm_responses where answer is not null)),
+shown as (select distinct response_id, label, {_ref('label')} as r from ids join held using (chunk_id) where chunk_id in (select chunk_id from corpus)),
+ret as (select distinct response_id, i from cp join shown using (response_id) where case when cp.ref is null or shown.r is null then cp.c = shown.label else {OVERLAPS.format('cp.ref', 'shown.r')} end),
+ctx as (select response_id, sum(length(text)) + count(*) - 1 as chars, string_agg(text, chr(10) order by text) as context from ids join corpus using (chunk_id) group by 1),
+named_all as (select distinct response_id, i from cp join ctx using (response_id) where {NAMED.format('cp.ref', 'ctx.context')}),
+st as (select cp.response_id, cp.i, case when ret.i is not null then 'retrieved' when same.i is not null then 'wrong_label' when named_all.i is not null then 'cross_reference' else 'unsupported' end as s
+  from cp left join ret on ret.response_id = cp.response_id and ret.i = cp.i left join same on same.response_id = cp.response_id and same.i = cp.i left join named_all on named_all.response_id = cp.response_id and named_all.i = cp.i),
+n as (select response_id, count(*) as n, sum((s = 'retrieved')::int) as re, sum((s = 'wrong_label')::int) as wl, sum((s = 'cross_reference')::int) as cr, sum((s = 'unsupported')::int) as un from st group by 1),
+gold as (select query_id, gold_provisions from golden_dataset where query_id is not null qualify row_number() over (partition by query_id order by loaded_at desc nulls last, item_id desc) = 1),
+asked as (select response_id, query_id, gold_provisions from (select response_id, query_id from llm_responses where answer is not null) join gold using (query_id)),
+gr as (select response_id, t, {_ref('t')} as r from (select response_id, unnest(gold_provisions) as t from asked)),
+hr as (select chunk_id, label, {_ref('label')} as r from held),
+rel as (select distinct ids.response_id, ids.chunk_id from ids join hr using (chunk_id) join gr using (response_id) where case when gr.r is null or hr.r is null then gr.t = hr.label else {OVERLAPS.format('gr.r', 'hr.r')} end),
+hit as (select ids.response_id, rank, rel.chunk_id is not null as hit from ids left join rel using (response_id, chunk_id)),
+ir as (select asked.response_id,
+  coalesce(max(case when rank < 1 and hit then 1.0 else 0.0 end), 0)::double as recall_at_1, coalesce(max(case when rank < 3 and hit then 1.0 else 0.0 end), 0)::double as recall_at_3,
+  coalesce(max(case when rank < 5 and hit then 1.0 else 0.0 end), 0)::double as recall_at_5, coalesce(1.0 / (min(case when hit then rank end) + 1), 0)::double as mrr,
+  coalesce(avg(case when rank < 5 then hit::int end), 0)::double as precision_at_5 from asked left join hit using (response_id) group by 1),
+rec as (select r.response_id, r.model as tag, r.query_id is null as un_q, {DECLINED} as declined, coalesce(n, 0) as n, coalesce(re, 0) as re, coalesce(wl, 0) as wl, coalesce(cr, 0) as cr, coalesce(un, 0) as un, {COMPLETENESS} as completeness, {FRAMING} as framing,
+  coalesce(ctx.chars, 0) as chars, cost.cost_usd, ir.* exclude (response_id)
+  from r left join n using (response_id) left join ctx using (response_id) left join ir using (response_id) join (select response_id, cost_usd from llm_responses) cost using (response_id)),
 summary as (select tag, count(*) as n_questions, sum((not un_q)::int)::bigint as n_answerable, sum(un_q::int)::bigint as n_unanswerable,
+  {', '.join(f"round(avg(case when not un_q then {m} end), 3) as {m}" for m in ('recall_at_1', 'recall_at_3', 'recall_at_5', 'mrr'))},
   round(avg(case when un_q then declined::int::double end), 3) as unanswerable_declined, round(avg(case when not un_q then declined::int::double end), 3) as answerable_declined,
-  round(0.0 / nullif(sum(case when not declined then n end), 0), 3) as citations_grounded, round(sum(case when not declined then wl end) / nullif(sum(case when not declined then n end), 0), 3) as citations_wrong_label,
-  round(sum(case when not declined then cr end) / nullif(sum(case when not declined then n end), 0), 3) as citations_cross_reference, round(sum(case when not declined then un end) / nullif(sum(case when not declined then n end), 0), 3) as citations_unsupported,
-  coalesce(sum(case when not declined then n end), 0)::bigint as n_citations, round(avg(case when not un_q and not declined then completeness end), 3) as citation_completeness, round(avg(framing::int::double), 3) as bad_framing_rate
-  from rec group by tag)"""
+  {', '.join(f"round(sum(case when not declined then {c} end) / nullif(sum(case when not declined then n end), 0), 3) as citations_{m}" for c, m in (('re', 'grounded'), ('wl', 'wrong_label'), ('cr', 'cross_reference'), ('un', 'unsupported')))},
+  coalesce(sum(case when not declined then n end), 0)::bigint as n_citations, round(avg(case when not un_q and not declined then completeness end), 3) as citation_completeness, round(avg(framing::int::double), 3) as bad_framing_rate,
+  round(avg(chars), 3) as avg_context_chars, round(avg(cost_usd), 5) as avg_cost_usd
+  from rec where tag is not null group by tag)"""
 KIND = "case when regexp_matches(coalesce(title, ''), '(?i)\\b(prohibited|forbidden|shall not|must not|ban)\\b') then 'prohibition' when regexp_matches(coalesce(title, ''), '(?i)\\b(means|definition|defined as|for the purposes of)\\b') then 'definition' when regexp_matches(coalesce(title, ''), '(?i)\\b(shall|must|required|obligation|comply)\\b') then 'obligation' when regexp_matches(coalesce(title, ''), '(?i)\\b(procedure|process|step|assessment|conformity|notify|register)\\b') then 'procedural' else 'general' end"
 STRUCTURE = f"""
 {CORPUS},
@@ -123,17 +144,21 @@ k1 as (select parent_document, kind, case when kind = 'definition' then regexp_e
 roman as (select r, i + 1 as v from (select unnest(['I','II','III','IV','V','VI','VII','VIII','IX','X','XI','XII','XIII','XIV','XV','XVI','XVII','XVIII','XIX','XX']) as r, unnest(range(0, 20)) as i)),
 k as (select distinct parent_document, kind, case when kind = 'annex' then v else try_cast(number as int) end as value from k1 left join roman on kind = 'annex' and r = number where number <> '')"""
 SCORE = "(case when len(coalesce(gold_provisions, [])) > 0 then 3.0 else 0 end + case when len(coalesce(gold_provisions, [])) > 1 then 1.0 else 0 end + least(len(coalesce(expected_answer_elements, [])), 3) + case when contains(coalesce(notes, ''), 'llm-verified') then 2 else 0 end - case when contains(coalesce(notes, ''), 'fallback') or contains(coalesce(notes, ''), 'no retrieval') then 2 else 0 end - case when length(coalesce(query, '')) < 40 then 1 else 0 end)::double"
+SCORED = f"s as (select item_id, query_type, difficulty, source_article, {SCORE} as score from golden_dataset)"
 STRATA = f"s as (select item_id, query_type, difficulty, source_article, {SCORE} as score from golden_dataset where query_type is not null and difficulty is not null)"
 
 
 def _comparison() -> str:
-    """(label, tag, shown) of each metric that a comparison lists; retrieval, judges, sizes and prices weren't run."""
+    """(label, tag, shown) of each metric that a comparison lists; the judges weren't run."""
     run = {
+        "Recall@1": "recall_at_1", "Recall@3": "recall_at_3", "Recall@5": "recall_at_5", "MRR": "mrr",
         "Citations: cited text was retrieved": "citations_grounded", "Citations: label of a passage whose text is another provision": "citations_wrong_label", "Citations: cross-reference named in retrieved text": "citations_cross_reference",
         "Citations: unsupported": "citations_unsupported", "Unanswerable questions declined": "unanswerable_declined", "Answerable questions declined": "answerable_declined",
     }
-    missing = ("Recall@1", "Recall@3", "Recall@5", "MRR", "Completeness vs the Act (judge)", "Faithfulness to retrieved text (judge)", "Factual consistency (judge)", "Answer relevance (judge)", "Avg characters sent to the LLM", "Avg cost per question (USD)")
+    missing = ("Completeness vs the Act (judge)", "Faithfulness to retrieved text (judge)", "Factual consistency (judge)", "Answer relevance (judge)")
     rows = [f"select '{n}' as label, tag, printf('%.2f', {c}) as shown from summary" for n, c in run.items()]
+    rows += ["select 'Avg characters sent to the LLM', tag, case when avg_context_chars > 100 then format('{:,}', round_even(avg_context_chars, 0)::bigint) else printf('%.2f', avg_context_chars) end from summary"]
+    rows += ["select 'Avg cost per question (USD)', tag, '$' || printf('%.4f', avg_cost_usd) from summary"]
     return " union all ".join(rows + [f"select '{n}', tag, null from summary" for n in missing])
 
 
@@ -141,6 +166,10 @@ def _shown(tag: str) -> str:
     return f"coalesce(max(case when tag = '{tag}' then shown end), 'not run') as \"{tag}\""
 
 
+def _price(table: dict[str, float], default: float) -> str:
+    return "case model " + " ".join(f"when '{m}' then {v}::double" for m, v in table.items()) + f" else {default}::double end"
+
+
 def _quotas() -> str:
     rows = []
     for t, a in (("factual", 0.35), ("procedural", 0.30), ("conceptual", 0.20), ("cross_reference", 0.15)):
@@ -166,7 +195,8 @@ def oracle_sql() -> dict[str, str]:
             select query_id, chunk_id, score, row_number() over (partition by query_id order by score - case when doc_kind = 'minutes' then 3.0 else 0.0 end desc, r1) - 1 as rank from rr qualify rank < 3""",
         "chunk_structural_ids": f"select distinct sha256({STRIP.format('text')}) as chunk_id, parent_document, chunk_index from chunks where {STRIP.format('text')} <> ''",
         "chunk_fixed_size": f"with {fixed} select doc_id as parent_document, a // 450 as chunk_index, doc_kind as section_type, sha256({STRIP.format(chr(97) + 'rray_to_string(w[a+1:a+500], ' + chr(39) + ' ' + chr(39) + ')')}) as chunk_id from x",
-        "upsert_latest": f"with {CORPUS} select chunk_id, ingestion_run_id, article_number from corpus",
+        "upsert_latest": """with v as (select chunk_id, article_number, ingestion_run_id, (ingestion_run_id = (select max(ingestion_run_id) from chunks)) is true as put, ingested_at from chunks where chunk_id is not null)
+            select chunk_id, ingestion_run_id, article_number from v qualify row_number() over (partition by chunk_id order by put desc, ingested_at desc nulls last, ingestion_run_id desc nulls last) = 1""",
         "collection_count": "select count(distinct chunk_id) as n from chunks",
         "point_lookup": f"with {CORPUS} select chunk_id, article_number, title from corpus where chunk_id = (select min(chunk_id) from chunks)",
         "store_codec": f"with {CORPUS} select chunk_id, coalesce(article_number, '') as article_number, coalesce(title, '') as title, coalesce(array_to_string(cross_references, '|'), '') as cross_references from corpus",
@@ -174,11 +204,11 @@ def oracle_sql() -> dict[str, str]:
         "provision_containment": f"with {CORPUS}, {GRAMS} select chunk_id, label, first from held",
         "ir_metrics_per_query": f"with {IR} select * from m",
         "ir_metrics_summary": f"with {IR} select count(*) as n, round(avg(recall_at_1), 3) as recall_at_1, round(avg(recall_at_3), 3) as recall_at_3, round(avg(recall_at_5), 3) as recall_at_5, round(avg(mrr), 3) as mrr, round(avg(precision_at_5), 3) as precision_at_5 from m",
-        "run_summary": f"with {RECORDS} select * from summary",
+        "run_summary": f"with {RECORDS} select tag, n_questions, n_answerable, n_unanswerable, unanswerable_declined, answerable_declined, citations_grounded, citations_wrong_label, citations_cross_reference, citations_unsupported, n_citations, citation_completeness, bad_framing_rate, recall_at_1, recall_at_3, recall_at_5, mrr, avg_context_chars, avg_cost_usd from summary",
         "compare_runs_pivot": f"with {RECORDS}, l as ({_comparison()}) select label as metric, {', '.join(_shown(t) for t in ('answerer-large', 'answerer-small', 'answerer-trial'))} from l group by label",
         "run_join_ab": "with a as (select query_id, min(response_id) as a from llm_responses where query_id is not null and model = 'answerer-large' group by 1), b as (select query_id, min(response_id) as b from llm_responses where query_id is not null and model = 'answerer-small' group by 1) select query_id, a, b from a left join b using (query_id)",
         "dedup_normalized_text": f"select min(item_id) as item_id from golden_dataset where query is not null group by lower({STRIP.format('query')})[1:80]",
-        "antijoin_new": "select record_id, payload ->> '$.query' as query from candidate_records where payload ->> '$.query' is not null and payload ->> '$.query' not in (select query from golden_dataset where query is not null)",
+        "antijoin_new": "with c as (select record_id, max(case when regexp_replace(lower(e.key), '[^a-z0-9]', '', 'g') = 'query' then e.value ->> '$' end) as query from candidate_records, json_each(payload) e group by 1) select * from c where query is not null and query not in (select query from golden_dataset where query is not null)",
         "set_gaps": f"with {STRUCTURE}, m as (select parent_document, kind, max(value) as top from k group by all), e as (select parent_document, kind, unnest(range(1, top + 1)) as number from m) select e.parent_document, e.kind, e.number::int as number from e left join k on k.parent_document = e.parent_document and k.kind = e.kind and k.value = e.number where k.value is null",
         "duplicate_labels": f"with {CORPUS} select parent_document, article_number, count(*) as n from corpus where parent_document is not null and article_number is not null group by all having count(*) > 1",
         "sentence_completeness": f"with r as (select response_id, answer, {_citations('answer')} as cs from llm_responses where answer is not null) select response_id, {FACTUAL} as factual, round({COMPLETENESS}, 6) as completeness from r",
@@ -188,13 +218,13 @@ def oracle_sql() -> dict[str, str]:
             select r.response_id, count(met.i) as matched, count(cp.i) - count(met.i) as missing, sum((cp.i is not null and met.i is null and named.i is not null)::int)::bigint as cross_referenced,
               round(case when count(cp.i) = 0 then 1.0 else count(met.i) / count(cp.i) end, 6) as accuracy, any_value({FRAMING}) as bad_framing
             from r left join cp using (response_id) left join met on met.response_id = cp.response_id and met.i = cp.i left join named on named.response_id = cp.response_id and named.i = cp.i group by 1""",
-        "citation_statuses": f"with {RECORDS} select response_id, wl as n_wrong_label, cr as n_cross_reference, un as n_unsupported from rec",
+        "citation_statuses": f"with {RECORDS} select response_id, re as n_retrieved, wl as n_wrong_label, cr as n_cross_reference, un as n_unsupported from rec",
         "decline_framing": f"select response_id, {DECLINED} as declined, {FRAMING} as bad_framing from llm_responses",
         "cross_reference_edges": rf"with {CORPUS} select distinct chunk_id, unnest(regexp_extract_all(text, '(?i)\b(?:Article\s+\d+(?:\(\d+\))?|Annex\s+[IVX]+|Recital\s+\d+)\b')) as target from corpus",
         "classify_section": f"with {CORPUS} select distinct title, {KIND} as section_type from corpus where title is not null",
         "structure_summary": f"with {STRUCTURE} select parent_document, kind, list_sort(list(distinct value::int)) as numbers from k group by all",
-        "candidate_score": f"with {STRATA} select item_id, score from s",
-        "stratified_split": f"with {STRATA}, o as (select *, row_number() over (partition by query_type, difficulty order by sha256('42|' || item_id), item_id) as rn, count(*) over (partition by query_type, difficulty) as n from s) select item_id, query_type, difficulty, case when rn <= greatest(1, round_even(n * 0.7::double, 0)) then 'dev' else 'test' end as split from o",
+        "candidate_score": f"with {SCORED} select item_id, score from s",
+        "stratified_split": f"with {SCORED}, o as (select *, row_number() over (partition by query_type, difficulty order by sha256('42|' || item_id), item_id) as rn, count(*) over (partition by query_type, difficulty) as n from s) select item_id, query_type, difficulty, case when rn <= greatest(1, round_even(n * 0.7::double, 0)) then 'dev' else 'test' end as split from o",
         "priority_pick": f"with {STRATA}, l as (select *, case when difficulty = 'easy' then 'easy' when difficulty in ('medium', 'hard') then 'harder' end as level from s) select source_article, level, item_id, score from l where level is not null and source_article in ('Article 5', 'Article 6', 'Article 9', 'Article 10', 'Article 13', 'Article 14', 'Article 17', 'Article 50') qualify row_number() over (partition by source_article, level order by score desc, item_id) = 1",
         "quota_select": f"with {STRATA}, {_quotas()}, o as (select s.*, coalesce(quota, 1) as quota, row_number() over (partition by s.query_type, s.difficulty order by score desc, item_id) as rn from s left join quota using (query_type, difficulty)), p as (select *, row_number() over (order by query_type, difficulty, rn) as place from o where rn <= quota) select item_id, query_type, difficulty, score from p where place <= 45",
         "golden_left_join": f"with {CORPUS}, i as (select article_number, count(distinct chunk_id) as n, arg_min(chunk_id, (chunk_index, chunk_id)) as f from corpus where article_number is not null group by 1) select item_id, coalesce(n, 0) as chunks, coalesce(f, '') as first from golden_dataset left join i on source_article = article_number",
@@ -202,15 +232,15 @@ def oracle_sql() -> dict[str, str]:
         "golden_counters": "select 'query_type' as field, query_type as value, count(*) as n from golden_dataset group by all union all select 'difficulty', difficulty, count(*) from golden_dataset group by all union all select 'split', split, count(*) from golden_dataset group by all",
         "text_page_quality": f"select source_file, count(*) as pages, sum(length(coalesce(text, '')))::bigint as chars, sum((length({STRIP.format('coalesce(text, chr(32))')}) < 50)::int)::bigint as short_pages, round(avg((length({STRIP.format('coalesce(text, chr(32))')}) >= 50)::int), 6) as filled_share from raw_pages group by 1",
         "embedding_cost": "select round(sum(length(text[1:32000])) / 4 / 1e6 * 0.02, 9) as usd from documents",
-        "answer_cost": "select response_id, round((input_tokens * 3.0::double + output_tokens * 15.0::double) / 1e6::double, 9) as usd from llm_responses",
+        "answer_cost": f"select response_id, round((input_tokens * {_price(INPUT_PRICE, INPUT_DEFAULT)} + output_tokens * {_price(OUTPUT_PRICE, OUTPUT_DEFAULT)}) / 1e6::double, 9) as usd from llm_responses",
         "failure_counts": "select event_type, count(*) as n from events group by 1",
         "judge_json_parse": "select event_id, (props ->> '$.k')::double as score from events",
         "tolerant_objects": "select record_id, 1 as objects from candidate_records",
         "events_windowed": "select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all",
         "prompt_context": rf"""with {CORPUS},
-            u as (select response_id, query, {_distinct('retrieved_chunk_ids')} as ids from llm_responses where response_id % 20 = 0 and query is not null),
+            u as (select response_id, query, {_distinct('retrieved_chunk_ids')} as ids from llm_responses where query is not null),
             h as (select response_id, query, unnest(ids) as chunk_id, generate_subscripts(ids, 1) as i from u),
             b as (select response_id, query, i, '[' || i || '] Source: ' || case when article_number <> '' then article_number else '(unlabelled)' end || case when title <> '' then ' — ' || title else '' end || chr(10) || {STRIP.format('text')} || chr(10) as b from h join corpus using (chunk_id)),
-            p as (select response_id, 'Below are the relevant passages retrieved from the regulatory corpus. Use only these passages to answer the question.' || chr(10) || chr(10) || '--- RETRIEVED CONTEXT ---' || chr(10) || string_agg(b, chr(10) order by i) || '--- END OF CONTEXT ---' || chr(10) || chr(10) || 'Question: ' || any_value(query) || chr(10) || chr(10) || 'Answer (with citations):' as prompt from b group by 1)
+            p as (select response_id, '{CONTEXT_HEADER}' || string_agg(b, chr(10) order by i) || '{CONTEXT_END}' || any_value(query) || '{ANSWER}' as prompt from b group by 1)
             select response_id, length(prompt) as chars, sha256(prompt) as hash from p""",
     }

@@ -12,6 +12,7 @@ from statuta.config import EngineConfig, run_id
 from statuta.functions.payloads import prompts
 from statuta.functions.refs import bad_framing, citation_status, citations, declines
 from statuta.operators import bm25, chunk, dense, fuse, metrics, parse, provisions, store, verify
+from statuta.runtime import cut
 from statuta.sources.tables import log_queries
 
 META = ("chunk_id", "text", "article_number", "section_type", "title", "parent_document")
@@ -47,13 +48,18 @@ def search(queries: DataFrame, chunks: DataFrame, cfg: EngineConfig = EngineConf
 
 
 def answer_queries(queries: DataFrame, chunks: DataFrame, answerer: Callable, system: str, cfg: EngineConfig = EngineConfig(), filters: dict | None = None, scorer=None, log_path: str | None = None, qkey: str = "query_id") -> DataFrame:
-    """Answers with their citations checked; a query without hits is declined without asking the model."""
+    """Answers with their citations checked; a query without hits is declined without asking the model.
+
+    The answers are kept, so the log and whoever reads the result share one call of the model a query.
+    """
+    queries = cut(queries)  # their vectors may come from a model too
     hits = search(queries, chunks, cfg, filters, scorer, qkey=qkey)
     given = hits.groupBy(qkey).agg(F.collect_list("article_number").alias("labels"), F.collect_list("text").alias("texts"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))
     said = adapters.answer(prompts(hits, qkey), answerer, system, qkey)
     out = queries.select(qkey, "query").join(given.join(said, qkey), qkey, "left")
     out = out.withColumn("answered", F.col("answer").isNotNull() & ~declines(F.col("answer")))
     out = verify.verify(out.fillna("", ["answer"]).withColumn("labels", F.coalesce("labels", F.array().cast("array<string>"))).withColumn("texts", F.coalesce("texts", F.array().cast("array<string>"))))
+    out = cut(out)
     if log_path:
         log_queries(out.select(qkey, "query", "answered", "chunk_ids", "citations", "accuracy", "latency_ms"), log_path)
     return out
