@@ -80,12 +80,12 @@ def brute_roots(edges):
     return {x: min(s) for x, s in up.items()}
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
+@pytest.mark.parametrize("limit", [10**6, 5])
 def test_components_against_brute_force(spark, limit):
     rnd = random.Random(3)
     edges = [(f"n{rnd.randrange(60):02d}", f"n{rnd.randrange(60):02d}") for _ in range(45)] + [("c%03d" % i, "c%03d" % (i + 1)) for i in range(20)]
     df = spark.createDataFrame([*edges, *edges[:5], (None, "n01")], "a string, b string")
-    got = {r["node"]: r["root"] for r in components.components(df, one_task_edges=limit).collect()}
+    got = {r["node"]: r["root"] for r in components.components(df, task_edges=limit).collect()}
     assert got == {k: v for k, v in brute_roots(edges).items() if k != v}
 
 
@@ -112,11 +112,39 @@ def test_groups_stay_whole_and_shares_are_met(spark):
     rnd = random.Random(5)
     rows = [(i, f"q{i // 2}", "A" if i % 3 else "B", f"Article {1 if rnd.random() < 0.3 else rnd.randrange(2, 200)}", None) for i in range(2000)] + [(5000 + i, None, None, None, None) for i in range(50)]
     t = spark.createDataFrame([("train", 0.7), ("dev", 0.15), ("test", 0.15)], "split_name string, target_share double")
-    a = splits.assign(splits.records(spark.createDataFrame(rows, R)), t, bundles=256).toPandas()
+    a = splits.assign(splits.records(spark.createDataFrame(rows, R)), t).toPandas()
     assert len(a) == 2050 and a["item_id"].is_unique
     assert a.groupby("group")["split"].nunique().max() == 1
 
 
+def test_groups_of_one_size_are_placed_as_one_by_one():
+    rnd = random.Random(8)
+    classes = pd.DataFrame({"n": [40, 7, 3, 1], "groups": [3, 11, 50, 200]})
+    shares = [("dev", 0.15), ("test", 0.15), ("train", 0.7)]
+    got = splits.placed(classes.sample(frac=1, random_state=rnd.randrange(99)), shares)
+    total = float((classes["n"] * classes["groups"]).sum())
+    lack = {k: v * total for k, v in shares}
+    want = {}
+    for n, m in classes.itertuples(index=False):
+        for _ in range(m):
+            k = max(lack, key=lack.get)
+            lack[k] -= n
+            want[k, n] = want.get((k, n), 0) + 1
+    have = {(r.split, r.n): r.last - r.first + 1 for r in got.itertuples()}
+    assert all(abs(have.get(k, 0) - v) <= 1 for k, v in want.items())
+    for n, m in classes.itertuples(index=False):
+        assert sorted(x for r in got[got["n"] == n].itertuples() for x in range(r.first, r.last + 1)) == list(range(1, m + 1))
+
+
+def test_sources_rest_on_the_components(spark, monkeypatch):
+    rows = [(1, "a", "A", "Article 1", "train"), (2, "b", "A", "Art. 1(2)", "dev")]
+    rec = splits.records(spark.createDataFrame(rows, R))
+    assert splits.violations(rec).count() == 1
+    none = spark.createDataFrame([], "node string, root string")
+    monkeypatch.setattr(splits, "components", lambda e: none)
+    assert splits.violations(rec).count() == 0
+
+
 def test_assignment_of_nothing(spark):
     t = spark.createDataFrame([("train", 1.0)], "split_name string, target_share double")
     assert splits.assign(splits.records(spark.createDataFrame([], R)), t).count() == 0

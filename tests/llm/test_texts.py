@@ -136,7 +136,7 @@ def tagger():
     docs = corpus(random.Random(3))
     thai = ["ผู้ตรวจสอบต้องส่งรายงาน มาตรา 5 กำหนดให้เก็บเอกสาร\n\nโรงเรียนต้องเก็บเอกสาร\n\nผู้ตรวจสอบต้องส่งรายงาน"] * 20
     ja = ["検査官は「記録を見た。問題はない。」と述べた。学校は記録を保存する。\n\n病院は記録を保存する。"] * 20
-    return sentences.Tagger().train(sentences.weak_labels([sentences.examples(t, i) for i, t in enumerate(docs + thai + ja)]))
+    return sentences.Tagger().train(sentences.weak_labels([c for i, t in enumerate(docs + thai + ja) for c in sentences.examples(t, i)]))
 
 
 @pytest.mark.parametrize(
@@ -167,3 +167,15 @@ def test_every_character_is_in_one_sentence(spark, tagger):
         assert "".join("".join(t[a:b].split()) for a, b in mine) == "".join(t.split())
         assert all(t[a:b] == t[a:b].strip() for a, b in mine)
     assert not any(r["doc_id"] > 90 for r in rows)
+
+
+def test_marks_never_closed_cost_no_more_than_others():
+    for p in ("(" * 50_000, "“" * 20_000 + "a”", "(a) " * 20_000 + "("):
+        assert len(sentences.depths(p)) == (20_000 if p[1] == "a" else p.count("”"))
+    assert sentences.depths("( “a” (b “c”") == [(2, 5), (9, 12)]
+    assert sentences.depths("((a) “b” [c)") == [(0, 12)]
+
+
+def test_stripped_texts_keep_the_places_of_their_ends():
+    text, ends = sentences.stripped("ab cd. ef 3.5 gh?\n\nij kl")
+    assert text == "ab cd ef 3.5 gh ij kl" and {5, 15, 21} <= ends and 10 not in ends
