@@ -73,8 +73,8 @@ def quotas(target: int) -> list[tuple[str, str, int]]:
     return [(t, d, max(1, round(target * a * b))) for t, a in TYPE_SHARES.items() for d, b in DIFFICULTY_SHARES.items()]
 
 
-def quota_select(df: DataFrame, target: int, kind: str = "query_type", difficulty: str = "difficulty", points: str = "score", key: str = "item_id") -> DataFrame:
-    """Up to each stratum's quota its best candidates, strata in order until the target is reached.
+def quota_select(df: DataFrame, target: int, kind: str = "query_type", difficulty: str = "difficulty", points: str = "score", key: str = "item_id", most: int | None = None) -> DataFrame:
+    """Up to each stratum's quota its best candidates, strata in order until the target, or else `most`, is reached.
 
     A stratum that the shares don't know has quota 1. Late strata may get nothing. Each task keeps at most a quota's
     rows of a stratum.
@@ -83,17 +83,16 @@ def quota_select(df: DataFrame, target: int, kind: str = "query_type", difficult
     table = F.create_map(*[x for (t, d), n in q.items() for x in (F.lit(f"{t}|{d}"), F.lit(n))])
     x = df.withColumn("quota", F.coalesce(F.try_element_at(table, F.concat_ws("|", kind, difficulty)), F.lit(1)))
     rn = F.row_number().over(W.partitionBy(kind, difficulty).orderBy(F.col(points).desc(), F.col(key)))
-    most = max(q.values())
-    x = x.withColumn("rn", rn).where(F.col("rn") <= most).where(F.col("rn") <= F.col("quota"))
+    x = x.withColumn("rn", rn).where(F.col("rn") <= max(q.values())).where(F.col("rn") <= F.col("quota"))
     # at most the quotas' sum of rows is left
     at = F.row_number().over(W.orderBy(kind, difficulty, "rn"))
-    return x.withColumn("at", at).where(F.col("at") <= target).select(*df.columns)
+    return x.withColumn("at", at).where(F.col("at") <= (target if most is None else most)).select(*df.columns)
 
 
 def with_unanswerable(selected: DataFrame, viable: DataFrame, points: str = "score", key: str = "item_id", flag: str = "is_unanswerable") -> DataFrame:
     """selected, its lowest-scored row changed for the first unanswerable viable one if it holds none."""
     if not selected.where(F.col(flag)).limit(1).take(1):
-        add = viable.where(F.col(flag)).orderBy(F.col(points).desc(), key).limit(1)
+        add = viable.where(F.col(flag)).orderBy(key).limit(1)
         low = selected.orderBy(points, F.col(key).desc()).limit(1)
         if add.take(1):
             return selected.join(low.select(key), key, "left_anti").select(*selected.columns).unionByName(add.select(*selected.columns))

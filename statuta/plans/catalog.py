@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from statuta.config import EngineConfig
 from statuta.functions import payloads, refs, text
-from statuta.operators import bm25, chunk, costs, dense, fuse, golden, metrics, parse, provisions, store, verify
+from statuta.operators import bm25, chunk, costs, curate, dense, fuse, golden, judges, metrics, parse, provisions, store, verify
 from statuta.plans.catalog_sql import oracle_sql  # noqa: F401
 from statuta.sources import pages as page_sources
 from statuta.streaming.ingest import log_windows
@@ -339,6 +339,58 @@ def tolerant_objects(spark, d):
     return c.select("record_id", F.size(payloads.objects(F.concat(F.lit("Here: ["), "payload", F.lit("]")), "struct<query:string,difficulty:string>")).alias("objects"))
 
 
+def _judged(spark, d):
+    """Answered, answerable questions with their latest delivery's facts and the passages they were given."""
+    g = table(spark, d, "golden_dataset").where("query_id is not null").groupBy("query_id").agg(F.max(F.struct("loaded_at", "item_id", "is_unanswerable", "expected_answer_elements")).alias("g"))
+    r = table(spark, d, "llm_responses").where("answer is not null").join(g, "query_id").where(~F.coalesce("g.is_unanswerable", F.lit(False)))
+    c = corpus(spark, d).select("chunk_id", "article_number", "text")
+    p = r.select("response_id", F.posexplode(F.array_distinct("retrieved_chunk_ids")).alias("rank", "chunk_id")).join(c, "chunk_id").groupBy("response_id").agg(F.array_sort(F.collect_list(F.struct("rank", "article_number", "text"))).alias("ps"))
+    x = r.join(p, "response_id", "left").select("response_id", F.col("model").alias("tag"), "query", "answer", F.col("g.expected_answer_elements").alias("expected_answer_elements"), F.transform("ps", lambda x: x["article_number"]).alias("labels"), F.transform("ps", lambda x: x["text"]).alias("texts"))
+    return x, x.where(~refs.declines(F.col("answer")))
+
+
+def _by_length(p):
+    """A judge's stand-in that needs no model: its verdict follows the prompt's length."""
+    n = F.length("prompt")
+    covered = F.array_join(F.transform(F.sequence(F.lit(1), 1 + n % 4), lambda i: F.when((n + i) % 2 == 0, "true").otherwise("false")), ", ")
+    return p.withColumn("raw", F.concat(F.lit('Verdict: {"score": '), ((n % 101) / 100).cast("string"), F.lit(', "reasoning": "length", "covered": ['), covered, F.lit("]}")))
+
+
+def judge_scores(spark, d):
+    got = judges.run_all(_judged(spark, d)[1], _by_length, "response_id")
+    return got.select("response_id", *[F.round(f"judge_{j}", 6).alias(j) for j in judges.TASKS])
+
+
+def judge_means(spark, d):
+    every, answered = _judged(spark, d)
+    x = every.select("response_id", "tag").join(judges.run_all(answered, _by_length, "response_id"), "response_id", "left")
+    return judges.means(x.where("tag is not null"), F.lit(True))
+
+
+def _candidates(spark, d):
+    return _strata(spark, d).withColumn("relevant_chunk_ids", F.col("gold_provisions")).drop("gold_provisions", "expected_answer_elements", "notes", "query")
+
+
+def select_entries(spark, d):
+    return curate.select_entries(_candidates(spark, d), 45, "item_id").select("item_id", "score")
+
+
+def selection_coverage(spark, d):
+    x = curate.coverage(table(spark, d, "golden_dataset").select("source_article", "is_unanswerable", F.col("gold_provisions").alias("ids")), ids="ids")
+    return x.withColumn("missing", F.array_join("missing", "|"))
+
+
+def generation_prompts(spark, d):
+    p = curate.generation_prompts(curate.askable(corpus(spark, d)))
+    return p.select("chunk_id", F.sha2("prompt", 256).alias("hash"))
+
+
+def answer_key_prompts(spark, d):
+    g = table(spark, d, "golden_dataset").select(F.col("item_id").alias("query_id"), "query", "gold_provisions")
+    p = curate.key_prompts(g, corpus(spark, d))
+    return p.select("query_id", F.sha2("prompt", 256).alias("hash"))
+
+
 def events_windowed(spark, d):
     return log_windows(table(spark, d, "events")).select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
 
@@ -349,7 +401,7 @@ NAMES = (
     "compare_runs_pivot", "run_join_ab", "dedup_normalized_text", "antijoin_new", "set_gaps", "duplicate_labels", "sentence_completeness", "citation_extract", "parse_reference",
     "citation_verify", "citation_statuses", "decline_framing", "cross_reference_edges", "classify_section", "parse_units", "structure_summary", "candidate_score", "stratified_split",
     "priority_pick", "quota_select", "golden_left_join", "missing_gold_labels", "golden_counters", "text_page_quality", "embedding_cost", "answer_cost", "failure_counts", "prompt_context",
-    "judge_json_parse", "tolerant_objects", "events_windowed",
+    "judge_json_parse", "tolerant_objects", "events_windowed", "judge_scores", "judge_means", "select_entries", "selection_coverage", "generation_prompts", "answer_key_prompts",
 )
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from statuta.functions.payloads import ANSWER, CONTEXT_END, CONTEXT_HEADER
+from statuta.operators.curate import ANSWER_KEY, GENERATE
+from statuta.operators.golden import DIFFICULTY_SHARES, PRIORITY, TYPE_SHARES
+from statuta.operators.judges import PARTS, TASKS
 from statuta.operators.costs import INPUT_DEFAULT, INPUT_PRICE, OUTPUT_DEFAULT, OUTPUT_PRICE
 
 STRIP = r"regexp_replace(regexp_replace({0}, '^[\s\x{{00a0}}\x{{2000}}-\x{{200a}}\x{{3000}}]+', ''), '[\s\x{{00a0}}\x{{2000}}-\x{{200a}}\x{{3000}}]+$', '')"
@@ -170,6 +173,43 @@ def _price(table: dict[str, float], default: float) -> str:
     return "case model " + " ".join(f"when '{m}' then {v}::double" for m, v in table.items()) + f" else {default}::double end"
 
 
+def _judges() -> str:
+    """CTEs that end in v (response_id, tag, a score for each judge, null if not judged)."""
+    part = lambda p: len(f"\n\n[{p}]\n")
+    n = {j: len(TASKS[j]) + sum(part(p) for p in PARTS[j]) for j in TASKS}
+    size = {"query": "length(coalesce(query, ''))", "answer": "length(answer)", "context": "ctx", "facts": "fl"}
+    lengths = ", ".join(f"{n[j]} + {' + '.join(size[p] for p in PARTS[j])} as l_{j}" for j in TASKS)
+    score = lambda j: f"case when not declined then (l_{j} % 101) / 100.0 end as {j}"
+    covered = "len(list_filter(range(1, least(2 + l_completeness % 4, nf + 1)), lambda i: (l_completeness + i) % 2 = 0)) / nf"
+    return f"""
+{CORPUS},
+g as (select query_id, is_unanswerable, coalesce(expected_answer_elements, []) as fs from golden_dataset where query_id is not null qualify row_number() over (partition by query_id order by loaded_at desc nulls last, item_id desc) = 1),
+r as (select response_id, model as tag, query, answer, {DECLINED} as declined, {_distinct('retrieved_chunk_ids')} as ids, fs from llm_responses join g using (query_id) where answer is not null and not coalesce(is_unanswerable, false)),
+pi as (select response_id, unnest(ids) as chunk_id, generate_subscripts(ids, 1) as i from r),
+ps as (select response_id, coalesce(nullif(article_number, ''), '(unlabelled)') as label, text, row_number() over (partition by response_id order by i) as k from pi join corpus using (chunk_id)),
+cx as (select response_id, sum(length(text) + length(label) + length(k::varchar) + 4)::bigint + 2 * (count(*) - 1) as ctx from ps group by 1),
+f as (select response_id, tag, query, answer, declined, coalesce(ctx, 0)::bigint as ctx, len(fs) as nf, length(array_to_string(list_transform(fs, lambda x, i: i || '. ' || x), chr(10))) as fl from r left join cx using (response_id)),
+l as (select *, {lengths} from f),
+v as (select response_id, tag, declined, {', '.join(score(j) for j in TASKS if j != 'completeness')}, case when not declined and nf > 0 then {covered} end as completeness from l)"""
+
+
+def _entries() -> str:
+    """Priority picks, then quotas of what is left of the target, one unanswerable, trimmed by score."""
+    ps = "', '".join(PRIORITY)
+    return f"""
+s as (select item_id, query_type, difficulty, source_article, is_unanswerable, {SCORE} as score from golden_dataset where query_type is not null and difficulty is not null and len(gold_provisions) > 0),
+lv as (select *, case when difficulty = 'easy' then 'easy' when difficulty in ('medium', 'hard') then 'harder' end as level from s where source_article in ('{ps}')),
+pk as (select * from lv where level is not null qualify row_number() over (partition by source_article, level order by score desc, item_id) = 1),
+t as (select 45 - count(*) as n from pk),
+q as (select a.k as query_type, b.k as difficulty, greatest(1, round_even((select n from t) * a.w * b.w, 0))::int as quota
+  from (values {', '.join(f"('{k}', {v}::double)" for k, v in TYPE_SHARES.items())}) a(k, w), (values {', '.join(f"('{k}', {v}::double)" for k, v in DIFFICULTY_SHARES.items())}) b(k, w)),
+o as (select s.*, coalesce(quota, 1) as quota, row_number() over (partition by s.query_type, s.difficulty order by score desc, item_id) as rn from s left join q using (query_type, difficulty) where item_id not in (select item_id from pk)),
+qs as (select *, row_number() over (order by query_type, difficulty, rn) as place from o where rn <= quota),
+ch as (select item_id, score, is_unanswerable from pk union all select item_id, score, is_unanswerable from qs where place <= greatest(1, (select n from t))),
+un as (select item_id, score from s where is_unanswerable and not exists (select 1 from ch where is_unanswerable) order by item_id limit 1),
+fin as (select item_id, score from ch where item_id not in (select item_id from ch where exists (select 1 from un) order by score, item_id desc limit 1) union all select * from un)"""
+
+
 def _quotas() -> str:
     rows = []
     for t, a in (("factual", 0.35), ("procedural", 0.30), ("conceptual", 0.20), ("cross_reference", 0.15)):
@@ -233,6 +273,15 @@ def oracle_sql() -> dict[str, str]:
         "text_page_quality": f"select source_file, count(*) as pages, sum(length(coalesce(text, '')))::bigint as chars, sum((length({STRIP.format('coalesce(text, chr(32))')}) < 50)::int)::bigint as short_pages, round(avg((length({STRIP.format('coalesce(text, chr(32))')}) >= 50)::int), 6) as filled_share from raw_pages group by 1",
         "embedding_cost": "select round(sum(length(text[1:32000])) / 4 / 1e6 * 0.02, 9) as usd from documents",
         "answer_cost": f"select response_id, round((input_tokens * {_price(INPUT_PRICE, INPUT_DEFAULT)} + output_tokens * {_price(OUTPUT_PRICE, OUTPUT_DEFAULT)}) / 1e6::double, 9) as usd from llm_responses",
+        "judge_scores": f"with {_judges()} select response_id, {', '.join(f'round({j}::double, 6) as {j}' for j in TASKS)} from v where not declined",
+        "judge_means": f"with {_judges()} select tag, round(avg(coalesce(completeness, 0)), 3) as completeness, {', '.join(f'round(avg({j})::double, 3) as {j}' for j in TASKS if j != 'completeness')}, sum((answer_relevance is not null)::int)::bigint as n_judged from v where tag is not null group by tag",
+        "select_entries": f"with {_entries()} select item_id, score from fin order by score desc, item_id limit 45",
+        "selection_coverage": f"""with p as (select unnest({list(PRIORITY)}) as a) select count(*) as entries, sum(coalesce(is_unanswerable, false)::int)::bigint as unanswerable, sum((coalesce(len(gold_provisions), 0) = 0)::int)::bigint as no_match,
+            (select count(*) from p where a in (select source_article from golden_dataset))::int as covered, (select coalesce(string_agg(a, '|' order by a), '') from p where a not in (select source_article from golden_dataset where source_article is not null)) as missing, round(avg(coalesce(len(gold_provisions), 0)), 1) as mean_ids from golden_dataset""",
+        "generation_prompts": f"with {CORPUS} select chunk_id, sha256('{GENERATE}' || article_number || chr(10) || text[1:2000]) as hash from corpus where starts_with(article_number, 'Article') and length(text) > 200",
+        "answer_key_prompts": f"""with {CORPUS}, t as (select article_number as label, max(text) as text from corpus where article_number is not null group by 1),
+            p as (select item_id, unnest(gold_provisions) as label, generate_subscripts(gold_provisions, 1) as i from golden_dataset), b as (select item_id, string_agg('[' || label || ']' || chr(10) || text, chr(10) || chr(10) order by i) as b from p join t using (label) group by 1)
+            select item_id as query_id, sha256('{ANSWER_KEY}Question: ' || coalesce(query, '') || chr(10) || chr(10) || coalesce(b, '')) as hash from golden_dataset left join b using (item_id)""",
         "failure_counts": "select event_type, count(*) as n from events group by 1",
         "judge_json_parse": "select event_id, (props ->> '$.k')::double as score from events",
         "tolerant_objects": "select record_id, 1 as objects from candidate_records",

@@ -65,6 +65,32 @@ def answer_queries(queries: DataFrame, chunks: DataFrame, answerer: Callable, sy
     return out
 
 
+def passages(hits: DataFrame, gold: str = "gold_provisions", shown: int = EngineConfig().provisions_shown) -> DataFrame:
+    """hits (with provisions and the question's gold) as a record shows them: rank from 1, the first provisions and their
+    number, whether one is gold, characters."""
+    return hits.select(
+        *[c for c in ("query_id", "response_id") if c in hits.columns], (F.col("rank") + 1).alias("rank"), F.col("article_number").alias("label"), F.slice("provisions", 1, shown).alias("contains"),
+        F.size("provisions").alias("contains_count"), provisions.contains_any(F.col("provisions"), F.col(gold)).alias("relevant"), F.length("text").alias("chars"),
+    )
+
+
+def response_view(answers: DataFrame, hits: DataFrame, experiment: str = "", corpus: str = EngineConfig().corpus, qkey: str = "query_id") -> DataFrame:
+    """Answers as a service gives them out: rounded, with their passages in order; an answer without hits has none."""
+    p = hits.groupBy(qkey).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "article_number", "title", "score"))).alias("retrieved_chunks"))
+    none = F.array().cast("array<struct<rank:int,chunk_id:string,article_number:string,title:string,score:double>>")
+    return answers.join(p, qkey, "left").select(
+        qkey, "query", "answered", "answer", "citations", F.when(F.col("answered"), F.col("accuracy")).alias("citation_accuracy"), F.coalesce("retrieved_chunks", none).alias("retrieved_chunks"),
+        F.round("latency_ms", 1).alias("latency_ms"), F.round("cost_usd", 6).alias("cost_usd"), F.lit(experiment).alias("experiment_id"), F.lit(corpus).alias("corpus"),
+    )
+
+
+def shown_records(golden: DataFrame, run: DataFrame, annotations: DataFrame, qkey: str = "query_id") -> DataFrame:
+    """A run's records with what the golden set expects and their annotation; `none` and '' where there is no such."""
+    g = golden.select(qkey, "expected_answer_elements").dropDuplicates([qkey])
+    x = run.join(g, qkey, "left").join(annotations.select(qkey, "failure_class", F.col("notes").alias("annotation")), qkey, "left")
+    return x.withColumns({"expected_answer_elements": F.coalesce("expected_answer_elements", F.array().cast("array<string>")), "failure_class": F.coalesce("failure_class", F.lit("none")), "annotation": F.coalesce("annotation", F.lit(""))})
+
+
 def ingest(pages: DataFrame, existing: DataFrame | None = None, fixed: bool = False, cfg: EngineConfig = EngineConfig(), run: str | None = None) -> DataFrame:
     """Chunks of the pages' units, put into an existing collection by content; ingesting again changes nothing."""
     units = parse.units(pages)
