@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from statuta.llm.labels import letters_digits, split_name
 from statuta.runtime import cut, join_groups, kept, spread
 
-#: Words that may be changed, added or dropped.
+#: Words that may be changed, added or dropped, though no more than a third of a text's.
 EDITS = 4
 #: A name is a capitalised word in at most this share of the different texts, or in RARE_TEXTS of them.
 RARE_SHARE = 1 / 20_000
@@ -65,6 +65,20 @@ def _numbers(w: list[str]) -> str:
     return " ".join(sorted(got))
 
 
+#: A clause may move within texts of so many words, with EDITS besides. It parts a text at three places at most.
+MOVE_WORDS, MOVE_PARTS = 3 * EDITS, 3
+
+
+def parts_of(n: int) -> int:
+    """Segments of a text of n words, of which what it allows leaves one whole."""
+    return allowed(n) + 1 + (MOVE_PARTS if n >= MOVE_WORDS else 0)
+
+
+def allowed(n: int) -> int:
+    """Edits that a text of n words may have."""
+    return min(EDITS, n // 3)
+
+
 def cut_points(n: int, parts: int = EDITS + 1) -> list[tuple[int, int]]:
     """(start, length) of `parts` segments of n words, as even as can be; empty ones are left out."""
     edges = [n * i // parts for i in range(parts + 1)]
@@ -79,10 +93,10 @@ def _keys(batches: Iterator[pd.DataFrame], evaluation: bool) -> Iterator[pd.Data
             w = [x.lower() for x in words]
             mark = _numbers(w)
             if evaluation:
-                runs = {" ".join(w[s : s + n]) for s, n in cut_points(len(w))}
+                runs = {" ".join(w[s : s + n]) for s, n in cut_points(len(w), parts_of(len(w)))}
             else:
                 # a run may stand at any place, for a clause may have moved; only its length is tied to the text's
-                lengths = {n for m in range(max(1, len(w) - EDITS), len(w) + EDITS + 1) for _, n in cut_points(m)}
+                lengths = {n for m in range(max(1, len(w) - EDITS), len(w) + EDITS + 1) for _, n in cut_points(m, parts_of(m))}
                 runs = {" ".join(w[s : s + n]) for n in lengths for s in range(len(w) - n + 1)}
             for name in sorted(set(own)) or [""]:
                 for r in runs:
@@ -162,11 +176,15 @@ def inner_move(a: list[str], b: list[str], k: int) -> list[tuple[str, str]] | No
     return moved(a[lo : len(a) - hi], b[lo : len(b) - hi], k)
 
 
-def same_question(a: list[str], b: list[str], names_a: set[str], names_b: set[str], k: int = EDITS) -> bool:
-    """Equal up to k word edits or one moved clause, with the same numbers and no name against another."""
-    if _numbers(a) != _numbers(b):
+def same_question(a: list[str], b: list[str], names_a: set[str], names_b: set[str], k: int | None = None) -> bool:
+    """Equal up to k word edits, besides one moved clause in texts of MOVE_WORDS or more, with the same numbers, a name in common or none at all, and no name
+    against another. k is what a allows if it isn't given."""
+    if _numbers(a) != _numbers(b) or not (names_a & names_b or not names_a | names_b):
         return False
+    k = allowed(len(a)) if k is None else k
     for way in (banded, inner_move, moved):
+        if way is not banded and min(len(a), len(b)) < MOVE_WORDS:
+            return False
         e = way(a, b, k)
         if e is not None:
             return not any((x in names_a or x in names_b) and (y in names_a or y in names_b) for x, y in e)
@@ -185,8 +203,8 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def class_pairs(all_texts: DataFrame) -> DataFrame:
     """(cls_a, cls_b): a text of an evaluation split and one of train that ask the same question in other words.
 
-    Each evaluation text is cut into EDITS + 1 segments; at most EDITS edits, or the ends of a moved clause, leave one
-    whole, so it is found among the runs of words of the training text. Names and numbers must be equal, so they are
+    Each evaluation text is cut into more segments than its edits and the ends of a moved clause can break, so one is left
+    whole and is found among the runs of words of the training text. Names and numbers must be equal, so they are
     part of the key; texts of either side whose names and numbers the other side lacks are dropped before runs are made.
     """
     low = F.transform("words", lambda w: F.lower(w))
