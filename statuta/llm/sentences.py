@@ -33,6 +33,7 @@ BLANK_LINE = re.compile(r"\n[^\S\n]*(?:\n\s*)+")
 END_RUN = re.compile(f"[{re.escape(ENDS)}]+")
 UNSPACED_SPACE = re.compile(r"(?<=[฀-๿຀-໿ក-៿က-႟0-9A-Za-z%)])[^\S\n]*\n?[^\S\n]*(?<=\s)(?=\S)")
 WORD = re.compile(r"[^\s“”«»„「」『』（）()\"‘\[\]]+$")
+OPENING = re.compile(r"\(?(?:\d+|[ivxlcIVXLC]+|[A-Za-z])\)?")
 SPACE = re.compile(r"\s*")
 WORD_END = re.compile(r"[\s.,;:!?]")
 ROMAN = re.compile(r"[IVXLC]+$")
@@ -113,7 +114,7 @@ def depths(p: str) -> list[tuple[int, int]]:
 
 
 def candidates(p: str) -> list[tuple[int, int, bool]]:
-    """(start of the end mark, end of the candidate sentence, inside a quotation) of a paragraph, its end left out."""
+    """(start of the end mark, end of the candidate, whether it is surely inside a sentence) of a paragraph, its end left out."""
     spans = depths(p)
     out, k = [], 0
     for m in END_RUN.finditer(p):
@@ -133,7 +134,8 @@ def candidates(p: str) -> list[tuple[int, int, bool]]:
         c = p[e]
         if not c.isspace() and (_script(p[a]) == "cjk" or p[a] in "。！？｡．") is False and not (c.isupper() and p[a - 3 : a].isalpha() and p[a - 3 : a].islower()) and c not in OPENERS:
             continue
-        out.append((a, e, any(s < e < f for s, f in _around(spans, e))))
+        # a number or letter that opens the paragraph belongs to its first sentence
+        out.append((a, e, OPENING.fullmatch(p, 0, a) is not None or any(s < e < f for s, f in _around(spans, e))))
     if UNPUNCTUATED.search(p):
         for m in UNSPACED_SPACE.finditer(p):
             if UNPUNCTUATED.search(p[max(0, m.start() - 12) : m.end() + 12]) and not (out and any(e == m.start() for _, e, _ in out)):
