@@ -240,12 +240,38 @@ def weighed(f: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
     return f & ((1 << BITS) - 1), np.where(f >> BITS, math.sqrt(min(1.0, FULL_WEIGHT / n)), 1.0).astype(np.float32)
 
 
+def calibrated(scores: np.ndarray, is_so: np.ndarray) -> tuple[float, float]:
+    """(slope, base) of the logistic curve through held-out scores, by Newton's method; (1, 0) without both kinds.
+
+    Targets are drawn in by one example of each kind, so that kinds which are parted cleanly keep a finite curve.
+    """
+    n1, n0 = int(is_so.sum()), int((~is_so).sum())
+    if not n1 or not n0:
+        return 1.0, 0.0
+    t = np.where(is_so, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    x = np.stack([scores, np.ones_like(scores)])
+    w, damp = np.array([1.0, 0.0]), 1e-3
+    loss = lambda v: float(np.logaddexp(0, v @ x).sum() - (t * (v @ x)).sum())
+    now = loss(w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(w @ x, -500, 500)))
+        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + damp * np.eye(2), x @ (p - t))
+        new = loss(w - step)
+        if new < now:
+            w, damp, gain, now = w - step, damp / 4, now - new, new
+            if gain < 1e-9:
+                break
+        elif (damp := damp * 8) > 1e12:
+            break
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+
+
 class Classifier:
-    """One logistic regression a defect over shared hashed features, with a threshold each."""
+    """One logistic regression a defect over shared hashed features, each with its scores calibrated to log odds."""
 
     def __init__(self) -> None:
         self.w = np.zeros((len(DEFECTS), 1 << BITS), dtype=np.float32)
-        self.cut = np.zeros(len(DEFECTS))
+        self.slope, self.base = np.ones(len(DEFECTS)), np.zeros(len(DEFECTS))
         self.language = Language()
 
     def score(self, f: Iterable[int]) -> np.ndarray:
@@ -253,7 +279,7 @@ class Classifier:
         return self.w[:, at] @ x
 
     def train(self, rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, seed: int = 11) -> Classifier:
-        """AdaGrad over examples (features, index of the defect or -1); a quarter is held out to set the thresholds."""
+        """AdaGrad over examples (features, index of the defect or -1); a quarter is held out to calibrate the scores."""
         rnd = random.Random(seed)
         rows = list(rows)
         rnd.shuffle(rows)
@@ -274,18 +300,15 @@ class Classifier:
         scores = np.array([self.score(f) for f, _ in held]).reshape(len(held), len(DEFECTS))
         ys = np.array([y for _, y in held])
         for k in range(len(DEFECTS)):
-            # between the scores of both kinds, where errors are fewest
-            order = np.argsort(scores[:, k])
-            s, y = scores[order, k], (ys[order] == k).astype(int)
-            wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
-            best = np.flatnonzero(wrong == wrong.min())
-            i = best[len(best) // 2]
-            lo, hi = s[i - 1] if i > 0 else -5.0, s[i] if i < len(s) else 5.0
-            self.cut[k] = min(max((lo + hi) / 2, -2.0), 2.0)
+            self.slope[k], self.base[k] = calibrated(scores[:, k], ys == k)
         return self
 
+    def chances(self, scores: np.ndarray) -> np.ndarray:
+        """Log odds of each defect, as calibrated on the examples held out."""
+        return self.slope * scores + self.base
+
     def defect(self, q: str | None, a: str | None) -> str | None:
-        over = self.score(features(q, a, self.language)) - self.cut
+        over = self.chances(self.score(features(q, a, self.language)))
         k = int(over.argmax())
         return DEFECTS[k] if over[k] > 0 else None
 
