@@ -20,6 +20,10 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sample(sampling.pool(table(spark, d, "golden_dataset")), table(spark, d, "sample_targets"))
 
 
+def p1_targets(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.targets_report(sampling.pool(table(spark, d, "golden_dataset")), table(spark, d, "sample_targets")).drop("key")
+
+
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return sampling.seats_report(sampling.pool(table(spark, d, "golden_dataset")), table(spark, d, "sample_targets")).drop("key")
 

@@ -46,7 +46,6 @@ scores as (
 """
 
 
-
 def _groups() -> str:
     fields = ("query", "querytype", "difficulty", "persona", "sourcearticle")
     entries = ", ".join(f"max(case when regexp_replace(lower(e.key), '[^a-z0-9]', '', 'g') = '{f}' then {KEY.format('e.value ->> chr(36)')} end) as {f}" for f in fields)
@@ -63,9 +62,10 @@ grouped as (select table_name, id, min(id) over (partition by table_name, form)
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"with {REQUIRED} select distinct plan_name, field_name, category from report where available < required",
-        "p1_report": f"with {REQUIRED} select plan_name, field_name, category, sample_size, target_share, min_rows, required, available, available < required as unmet from report",
+        "p1_targets": f"with {REQUIRED} select plan_name, field_name, category, sample_size, target_share, min_rows, required, available, least(available, ceil(required))::bigint as drawn, available < required as unmet from report",
         "p3_found": f"with {SOURCES} select act as parent_document, provision as source_article from sources where today is not null group by all having count(distinct today) > 1",
         "p5_found": f"with {TERMS} select chunk_id, term from scores where words >= 30 qualify row_number() over (partition by chunk_id order by score desc, tf desc, df, term desc) = 1",
+        "p5_scores": f"with {TERMS} select * from scores",
         "p7_found": f"with {_groups()} select table_name, keep_id, id as copy_id from grouped where id <> keep_id",
         "p7_groups": f"with {_groups()} select distinct table_name, keep_id, copies from grouped",
     }

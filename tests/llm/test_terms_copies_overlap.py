@@ -145,3 +145,25 @@ def test_look_alikes_are_told_apart():
 
 def test_no_rows(spark):
     assert overlap.overlaps(spark.createDataFrame([], "item_id long, query string, split string")).count() == 0
+
+
+def test_one_rule_for_names_and_numbers_in_join_and_check(spark):
+    a = "must the holder of Ravolux keep all of the event logs for ten years after the last sale".split()
+    for b, same in ((a, True), ([x for x in a if x != "Ravolux"], False), (["Zemitor" if x == "Ravolux" else x for x in a], False), ([*a, "now"], True)):
+        low = [x.lower() for x in b]
+        names = {x.lower() for x in b if x[0].isupper()}
+        assert overlap.same_question([x.lower() for x in a], low, {"ravolux"}, names) is same
+
+
+def test_short_texts_against_brute_force(spark):
+    rnd = random.Random(4)
+    vocab = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(5)]
+    rows = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(3, 11))), "train" if i % 2 else "dev") for i in range(500)]
+    for i in range(500, 700):  # near copies of others
+        w = rows[rnd.randrange(500)][1].split()
+        for _ in range(rnd.randrange(0, 3)):
+            w[rnd.randrange(len(w))] = rnd.choice(vocab)
+        rows.append((i, " ".join(w), "train" if i % 3 else "test"))
+    got = {tuple(r) for r in overlap.overlaps(spark.createDataFrame(rows, "item_id long, query string, split string")).collect()}
+    want = {(i, j) for i, p, x in rows if x != "train" for j, q, y in rows if y == "train" and overlap.same_question(p.split(), q.split(), set(), set())}
+    assert got == want and len(want) > 50
