@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from statuta.llm import pairs, scans, sentences
@@ -39,7 +40,7 @@ def test_made_defects_are_found_on_other_pairs(model):
     ex = pairs.examples(logged(random.Random(2), 600), model.language, seed=99)
     right = 0
     for f, y in ex:
-        over = model.score(list(set(f))) - model.cut
+        over = model.chances(model.score(list(set(f))))
         k = int(over.argmax())
         right += (k if over[k] > 0 else -1) == y
     assert right / len(ex) > 0.97
@@ -179,3 +180,15 @@ def test_marks_never_closed_cost_no_more_than_others():
 def test_stripped_texts_keep_the_places_of_their_ends():
     text, ends = sentences.stripped("ab cd. ef 3.5 gh?\n\nij kl")
     assert text == "ab cd ef 3.5 gh ij kl" and {5, 15, 21} <= ends and 10 not in ends
+
+
+def test_scores_are_calibrated():
+    rnd = np.random.default_rng(3)
+    scores = rnd.normal(size=4000) * 3
+    so = rnd.random(4000) < 1 / (1 + np.exp(-(0.5 * scores - 1)))
+    slope, base = pairs.calibrated(scores, so)
+    assert abs(slope - 0.5) < 0.08 and abs(base + 1) < 0.2
+    # kinds parted cleanly, and only one kind
+    slope, base = pairs.calibrated(np.array([-5.0, -4.0, 6.0, 7.0]), np.array([False, False, True, True]))
+    assert np.isfinite([slope, base]).all() and slope * -4 + base < 0 < slope * 6 + base
+    assert pairs.calibrated(np.zeros(3), np.zeros(3, bool)) == (1.0, 0.0)
