@@ -65,7 +65,7 @@ def windows(ws: Column, size: int) -> Column:
 
 
 def window_hashes(ws: Column, size: int) -> Column:
-    """As windows, each run as its 32 bytes of SHA-256, so that no copy of the text leaves its row."""
+    """As windows, each run as the first 16 bytes of its SHA-256, so that no copy of the text leaves its row."""
     n = F.size(ws)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.unhex(F.sha2(F.array_join(F.slice(ws, i, F.lit(size)), " "), 256)))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.unhex(F.substring(F.sha2(F.array_join(F.slice(ws, i, F.lit(size)), " "), 256), 1, 32)))
     return F.when(n >= size, runs).otherwise(F.array().cast("array<binary>"))
