@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statuta.runtime import shuffled
+
 
 def recall(k: int, rank: str = "rank", hit: str = "hit") -> Column:
     """1.0 if one of the first k is a hit; an aggregate."""
@@ -23,7 +25,7 @@ def precision(k: int, rank: str = "rank", hit: str = "hit") -> Column:
 def per_query(queries: DataFrame, hits: DataFrame, qkey: str = "query_id") -> DataFrame:
     """recall_at_1, 3, 5, mrr and precision_at_5 of each query; 0 for a query without hits."""
     m = hits.groupBy(qkey).agg(recall(1).alias("recall_at_1"), recall(3).alias("recall_at_3"), recall(5).alias("recall_at_5"), mrr().alias("mrr"), precision(5).alias("precision_at_5"))
-    return queries.select(qkey).distinct().join(m, qkey, "left").fillna(0.0)
+    return queries.select(qkey).distinct().join(shuffled(m), qkey, "left").fillna(0.0)
 
 
 METRICS = ("recall_at_1", "recall_at_3", "recall_at_5", "mrr", "precision_at_5")

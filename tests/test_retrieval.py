@@ -125,3 +125,13 @@ def test_golden_steps(spark):
 def test_config(monkeypatch):
     monkeypatch.setenv("RAG_RERANK_CANDIDATES", "0")
     assert EngineConfig.from_env().rerank_candidates == 0 and EngineConfig().pool == 20
+
+
+def test_held_is_contained_by_its_own_owners(spark):
+    ws = [f"w{i}" for i in range(40)]
+    # a label given twice, a definition whose heading counts for nothing, runs of two labels, no label, too short, null
+    texts = [("Article 1", ws[:15]), ("Article 1", ws[3:16]), ("Article 3(4)", ws[15:32]), ("Annex I", ws[14:29]), (None, ws), ("Article 9", ws[:11]), ("Article 2", ws[28:40] + ws[:14]), ("Article 5", None)]
+    u = spark.createDataFrame([(f"c{i}", t, " ".join(w) if w else None) for i, (t, w) in enumerate(texts)], "chunk_id string, article_number string, text string")
+    got, want = provisions.held(u, "chunk_id"), provisions.contained(u, provisions.owners(u), "chunk_id")
+    assert got.dtypes == want.dtypes and want.count() > 4
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
