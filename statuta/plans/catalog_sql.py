@@ -56,6 +56,7 @@ def _rrf(one: str, two: str, q: str, key: str, k: int, name: str) -> str:
 
 
 QUESTIONS = "qs as (select item_id, query as text, gold_provisions from golden_dataset where item_id % 20 = 0 and query is not null)"
+ASKED = "qs as (select item_id, query as text, gold_provisions from golden_dataset where query is not null)"
 VECTORS = "qv as (select vec_id as query_id, embedding as vector from embeddings where vec_id % 20 = 0)"
 HYBRID = f"""
 docs as (select doc_id as chunk_id, text, doc_kind, embedding from documents join embeddings on doc_id = vec_id where text is not null),
@@ -81,7 +82,7 @@ def _ref(c: str) -> str:
 
 OVERLAPS = "({0}.kind = {1}.kind and {0}.number = {1}.number and {0}.path[1:least(len({0}.path), len({1}.path))] = {1}.path[1:least(len({0}.path), len({1}.path))])"
 IR = f"""
-{CORPUS}, {QUESTIONS}, {GRAMS}, {_bm25('corpus', 'qs', 'chunk_id', 'item_id', 5)},
+{CORPUS}, {ASKED}, {GRAMS}, {_bm25('corpus', 'qs', 'chunk_id', 'item_id', 5)},
 g as (select item_id, unnest(gold_provisions) as t from qs),
 gp as (select item_id, t, {_ref('t')} as r from g),
 hp as (select chunk_id, label, {_ref('label')} as r from held),
